@@ -106,10 +106,21 @@ def parse_measures(names: tuple[str, ...] | list[str]) -> list[Wanted]:
 
 
 # Columns of the judged frame. n_rel, n_nonrel, n and the ideal ranking are the same in all rows of a query.
-r, c, is_rel, n, R, NN = (F.col(x) for x in ("r", "c", "is_rel", "n", "n_rel", "n_nonrel"))
-nn = F.col("nonrel_above")
+class _Frame:
+    """The frame's columns by short names, made when asked for (a column needs a session)."""
+
+    names = {"R": "n_rel", "NN": "n_nonrel", "nn": "nonrel_above"}
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(self.names.get(name, name))
+
+    @property
+    def Pr(self) -> Column:
+        return self.c / self.r
+
+
+at = _Frame()
 first = F.first
-Pr = c / r
 
 
 def div(a: Column, b: Column) -> Column:
@@ -121,45 +132,66 @@ def total(v: Column, where: Column | None = None) -> Column:
 
 
 def hits(k: Column | int) -> Column:
-    return F.coalesce(F.max(F.when(r <= k, c)), F.lit(0))
+    return F.coalesce(F.max(F.when(at.r <= k, at.c)), F.lit(0))
 
 
 def share(x: float) -> Column:
-    return F.floor(F.lit(x) * R + F.lit(0.9))
+    return F.floor(F.lit(x) * at.R + F.lit(0.9))
 
 
 def precision_at_recall(x: float) -> Column:
-    return F.coalesce(F.max(F.when((c >= share(x)) & (R > 0), Pr)), F.lit(0.0))
+    return F.coalesce(F.max(F.when((at.c >= share(x)) & (at.R > 0), at.Pr)), F.lit(0.0))
+
+
+def rel_ret() -> Column:
+    return F.sum(at.is_rel)
+
+
+def ap_sum() -> Column:
+    return total(at.Pr, at.is_rel == 1)
+
+
+def average_precision() -> Column:
+    return div(ap_sum(), first(at.R))
+
+
+def bpref_value() -> Column:
+    return div(total(F.when(at.nn == 0, 1.0).otherwise(F.lit(1.0) - F.try_divide(F.least(at.nn, at.R), F.least(at.NN, at.R))), at.is_rel == 1), first(at.R))
+
+
+def geo(v: Column) -> Column:
+    return F.log(F.greatest(v, F.lit(GEO_FLOOR)))
+
+
+def set_p() -> Column:
+    return div(rel_ret(), F.max(at.n))
+
 
+def set_r() -> Column:
+    return div(rel_ret(), first(at.R))
 
-rel_ret = F.sum(is_rel)
-ap_sum = total(Pr, is_rel == 1)
-average_precision = div(ap_sum, first(R))
-bpref_value = div(total(F.when(nn == 0, 1.0).otherwise(F.lit(1.0) - F.try_divide(F.least(nn, R), F.least(NN, R))), is_rel == 1), first(R))
-geo = lambda v: F.log(F.greatest(v, F.lit(GEO_FLOOR)))
-set_p, set_r = div(rel_ret, F.max(n)), div(rel_ret, first(R))
 
 
-def one(name: str, v: Column):
-    return lambda w: [(w.label, v)]
+def one(v: Callable[[], Column]):
+    return lambda w: [(w.label, v())]
 
 
-measure("num_ret", avg="sum")(one("num_ret", F.count(r)))
-measure("num_rel", avg="sum")(one("num_rel", first(R)))
-measure("num_rel_ret", avg="sum")(one("num_rel_ret", rel_ret))
-measure("map")(one("map", average_precision))
-measure("gm_map", avg="geo")(one("gm_map", geo(average_precision)))
-measure("Rprec")(one("Rprec", div(F.coalesce(F.max(F.when(r <= R, c)), F.lit(0)), first(R))))
-measure("bpref")(one("bpref", bpref_value))
-measure("recip_rank")(one("recip_rank", F.coalesce(F.lit(1.0) / F.min(F.when(is_rel == 1, r)), F.lit(0.0))))
-measure("gm_bpref", avg="geo")(one("gm_bpref", geo(bpref_value)))
-measure("binG")(one("binG", div(total(F.lit(1.0) / F.log2(F.lit(2) + r - c), is_rel == 1), first(R))))
-measure("set_P")(one("set_P", set_p))
-measure("set_recall")(one("set_recall", set_r))
-measure("set_relative_P")(one("set_relative_P", div(rel_ret, F.least(F.max(n), first(R)))))
-measure("set_map")(one("set_map", div(rel_ret * rel_ret, F.max(n) * first(R))))
-measure("num_nonrel_judged_ret", avg="sum")(one("num_nonrel_judged_ret", F.sum(((F.col("rel") >= 0) & (is_rel == 0)).cast("long"))))
-measure("yaap")(one("yaap", F.log((ap_sum + 1) / (first(R) - ap_sum + 1))))
+measure("num_ret", avg="sum")(one(lambda: F.count(at.r)))
+measure("num_rel", avg="sum")(one(lambda: first(at.R)))
+measure("num_rel_ret", avg="sum")(one(rel_ret))
+measure("map")(one(average_precision))
+measure("gm_map", avg="geo")(one(lambda: geo(average_precision())))
+measure("Rprec")(one(lambda: div(F.coalesce(F.max(F.when(at.r <= at.R, at.c)), F.lit(0)), first(at.R))))
+measure("bpref")(one(bpref_value))
+measure("recip_rank")(one(lambda: F.coalesce(F.lit(1.0) / F.min(F.when(at.is_rel == 1, at.r)), F.lit(0.0))))
+measure("gm_bpref", avg="geo")(one(lambda: geo(bpref_value())))
+measure("binG")(one(lambda: div(total(F.lit(1.0) / F.log2(F.lit(2) + at.r - at.c), at.is_rel == 1), first(at.R))))
+measure("set_P")(one(set_p))
+measure("set_recall")(one(set_r))
+measure("set_relative_P")(one(lambda: div(rel_ret(), F.least(F.max(at.n), first(at.R)))))
+measure("set_map")(one(lambda: div(rel_ret() * rel_ret(), F.max(at.n) * first(at.R))))
+measure("num_nonrel_judged_ret", avg="sum")(one(lambda: F.sum(((F.col("rel") >= 0) & (at.is_rel == 0)).cast("long"))))
+measure("yaap")(one(lambda: F.log((ap_sum() + 1) / (first(at.R) - ap_sum() + 1))))
 
 
 @measure("iprec_at_recall", "float", RECALLS)
@@ -179,12 +211,12 @@ def _p(w: Wanted):
 
 @measure("recall", "int", CUTOFFS)
 def _recall(w: Wanted):
-    return [(f"recall_{k}", div(hits(k), first(R))) for k in w.params]
+    return [(f"recall_{k}", div(hits(k), first(at.R))) for k in w.params]
 
 
 @measure("relative_P", "int", CUTOFFS)
 def _relative(w: Wanted):
-    return [(f"relative_P_{k}", div(hits(k), F.least(F.lit(k), first(R)))) for k in w.params]
+    return [(f"relative_P_{k}", div(hits(k), F.least(F.lit(k), first(at.R)))) for k in w.params]
 
 
 @measure("success", "int", SUCCESS)
@@ -194,39 +226,39 @@ def _success(w: Wanted):
 
 @measure("map_cut", "int", CUTOFFS)
 def _map_cut(w: Wanted):
-    return [(f"map_cut_{k}", div(total(Pr, (is_rel == 1) & (r <= k)), first(R))) for k in w.params]
+    return [(f"map_cut_{k}", div(total(at.Pr, (at.is_rel == 1) & (at.r <= k)), first(at.R))) for k in w.params]
 
 
 @measure("Rprec_mult", "float", FRACTIONS)
 def _rprec_mult(w: Wanted):
-    return [(f"Rprec_mult_{x:3.2f}", div(F.coalesce(F.max(F.when(r <= share(x), c)), F.lit(0)), first(share(x)))) for x in w.params]
+    return [(f"Rprec_mult_{x:3.2f}", div(F.coalesce(F.max(F.when(at.r <= share(x), at.c)), F.lit(0)), first(share(x)))) for x in w.params]
 
 
 @measure("relstring", "int", (10,), avg="none")
 def _relstring(w: Wanted):
     rel = F.col("rel")
     sign = F.when(rel == NOT_IN_POOL, "-").when(rel < 0, ".").when(rel > 9, ">").otherwise(rel.cast("string"))
-    rows = F.sort_array(F.collect_list(F.when(r <= w.params[0], F.struct(r.alias("r"), sign.alias("s")))))
+    rows = F.sort_array(F.collect_list(F.when(at.r <= w.params[0], F.struct(at.r.alias("r"), sign.alias("s")))))
     return [(w.label, F.concat(F.lit("'"), F.array_join(F.transform(rows, lambda x: x["s"]), ""), F.lit("'")))]
 
 
 @measure("infAP")
 def _infap(w: Wanted):
-    above, e = r - 1, INFAP_EPSILON
-    inferred = 1 / r + (above / r) * (F.col("pool_above") / above) * ((c - 1 + e) / (c - 1 + nn + 2 * e))
-    return [(w.label, div(total(F.when(r == 1, 1.0).otherwise(inferred), is_rel == 1), first(R)))]
+    above, e = at.r - 1, INFAP_EPSILON
+    inferred = 1 / at.r + (above / at.r) * (F.col("pool_above") / above) * ((at.c - 1 + e) / (at.c - 1 + at.nn + 2 * e))
+    return [(w.label, div(total(F.when(at.r == 1, 1.0).otherwise(inferred), at.is_rel == 1), first(at.R)))]
 
 
 @measure("utility", "numbers", (1.0, -1.0, 0.0, 0.0))
 def _utility(w: Wanted, size: int = 0):
     a, b, cc, d = w.params
-    return [(w.label, a * rel_ret + b * (F.max(n) - rel_ret) + cc * (first(R) - rel_ret) + d * (F.lit(size) + rel_ret - F.max(n) - first(R)))]
+    return [(w.label, a * rel_ret() + b * (F.max(at.n) - rel_ret()) + cc * (first(at.R) - rel_ret()) + d * (F.lit(size) + rel_ret() - F.max(at.n) - first(at.R)))]
 
 
 @measure("set_F", "numbers", (1.0,))
 def _set_f(w: Wanted):
     x = w.params[0]
-    return [(w.label, div((x + 1) * set_p * set_r, x * set_p + set_r))]
+    return [(w.label, div((x + 1) * set_p() * set_r(), x * set_p() + set_r()))]
 
 
 def _gain_columns(tag: str) -> tuple[Column, Column, Column]:
@@ -237,36 +269,36 @@ def _gain_columns(tag: str) -> tuple[Column, Column, Column]:
 @measure("ndcg", "gains")
 def _ndcg(w: Wanted, tag: str = "0"):
     _, dcg, ideal = _gain_columns(tag)
-    return [(w.label, div(F.max_by(dcg, r), first(ideal["idcg"])))]
+    return [(w.label, div(F.max_by(dcg, at.r), first(ideal["idcg"])))]
 
 
 @measure("ndcg_p", "gains")
 def _ndcg_p(w: Wanted, tag: str = "0"):
     g, _, ideal = _gain_columns(tag)
-    d = F.when(r > 1, g / F.log2(r.cast("double"))).otherwise(g)
+    d = F.when(at.r > 1, g / F.log2(at.r.cast("double"))).otherwise(g)
     return [(w.label, div(total(d), first(ideal["idcg_p"])))]
 
 
 @measure("ndcg_cut", "int", CUTOFFS)
 def _ndcg_cut(w: Wanted, tag: str = "0"):
     _, dcg, ideal = _gain_columns(tag)
-    return [(f"ndcg_cut_{k}", div(F.max_by(F.when(r <= k, dcg), F.when(r <= k, r)), first(ideal[f"at{k}"]))) for k in w.params]
+    return [(f"ndcg_cut_{k}", div(F.max_by(F.when(at.r <= k, dcg), F.when(at.r <= k, at.r)), first(ideal[f"at{k}"]))) for k in w.params]
 
 
 @measure("ndcg_rel", "gains")
 def _ndcg_rel(w: Wanted, tag: str = "0"):
     g, dcg, ideal = _gain_columns(tag)
     here = total(F.try_divide(dcg, F.col(f"idcg_{tag}")), g > 0)
-    rest = (first(ideal["npos"]) - F.sum((g > 0).cast("int"))) * div(F.max_by(dcg, r), first(ideal["idcg"]))
+    rest = (first(ideal["npos"]) - F.sum((g > 0).cast("int"))) * div(F.max_by(dcg, at.r), first(ideal["idcg"]))
     return [(w.label, F.coalesce(F.try_divide(here + rest, first(ideal["npos"])), F.lit(0.0)))]
 
 
 @measure("Rndcg", "gains")
 def _rndcg(w: Wanted, tag: str = "0"):
     _, dcg, ideal = _gain_columns(tag)
-    at_border = F.aggregate(F.filter(ideal["levels"], lambda b: F.least(b["m"], n) == r), F.lit(0.0), lambda a, b: a + dcg / b["idcg"])
-    after = F.max(n) > first(ideal["npos"]) + 1
-    s = total(at_border) + F.when(after, div(F.max_by(dcg, r), first(ideal["idcg"]))).otherwise(0.0)
+    at_border = F.aggregate(F.filter(ideal["levels"], lambda b: F.least(b["m"], at.n) == at.r), F.lit(0.0), lambda a, b: a + dcg / b["idcg"])
+    after = F.max(at.n) > first(ideal["npos"]) + 1
+    s = total(at_border) + F.when(after, div(F.max_by(dcg, at.r), first(ideal["idcg"]))).otherwise(0.0)
     return [(w.label, F.coalesce(F.try_divide(s, F.size(first(ideal["levels"])) + F.when(after, 1).otherwise(0)), F.lit(0.0)))]
 
 

@@ -3,3 +3,234 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+_TOKENS = r"""string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \n.:;"''?!,~`()/#*%+\-\[\]{{}}@^]+')"""
+_INDEX = f"""
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents) WHERE term <> '' GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df, log2(1 + any_value(n.n) * 1.0 / count(*)) AS idf FROM tf, n GROUP BY term),
+norms AS (SELECT doc_id, sqrt(sum(idf * tf * idf * tf)) AS norm FROM tf JOIN df USING (term) GROUP BY doc_id)
+"""
+ORACLES["tokens_tf"] = f"WITH {_INDEX} SELECT doc_id, term, tf FROM tf"
+ORACLES["doc_len"] = f"WITH {_INDEX} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS length FROM tf GROUP BY doc_id"
+ORACLES["df_idf"] = f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM df"
+ORACLES["doc_norms"] = f"WITH {_INDEX} SELECT doc_id, round(norm, 5) AS norm FROM norms"
+ORACLES["postings_gaps"] = f"""
+WITH {_INDEX}, idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM (SELECT DISTINCT doc_id FROM documents)),
+g AS (SELECT term, i - coalesce(lag(i) OVER (PARTITION BY term ORDER BY i), 0) AS gap FROM tf JOIN idx USING (doc_id))
+SELECT term, count(*) AS df, CAST(sum(CASE WHEN gap = 0 THEN 1 ELSE 1 + floor(log2(gap) / 7) END) AS BIGINT) AS gap_bytes FROM g GROUP BY term
+"""
+_QUERY = f"""
+title AS (SELECT query_number AS qid, unnest({_TOKENS.format("title")}) AS term FROM topics),
+desc_list AS (SELECT query_number AS qid, list_filter({_TOKENS.format("description")}, lambda t: t <> '') AS l FROM topics),
+desc_terms AS (SELECT qid, unnest(l) AS term, unnest(range(len(l))) AS pos FROM desc_list),
+picked AS (
+  SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN df IS NULL THEN 1 ELSE 0 END, coalesce(df, length(term)), term, pos) AS k, count(*) OVER (PARTITION BY qid) AS m
+  FROM desc_terms LEFT JOIN df USING (term)
+),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, term FROM title WHERE term <> '' UNION ALL SELECT qid, term FROM picked WHERE k <= greatest(floor(m / 2), 10)) GROUP BY qid, term),
+scored AS (
+  SELECT qid, tf.doc_id, round(sum((1 + log2(tf)) * (1 + log2(qtf)) * idf * idf) / any_value(norm), 6) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN norms ON norms.doc_id = tf.doc_id, n WHERE NOT (df > 0.25 * n.n AND n.n > 10000) GROUP BY qid, tf.doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM scored)
+"""
+ORACLES["query_terms"] = f"WITH {_INDEX}, {_QUERY} SELECT qid, term, qtf FROM q"
+ORACLES["tfidf_top10"] = f"WITH {_INDEX}, {_QUERY} SELECT qid, doc_id, score, rank FROM ranked WHERE rank <= 10"
+
+_LM = """
+res AS (SELECT qid, doc_id, rank FROM ranked WHERE rank <= 20),
+held AS (SELECT qid, doc_id, term, tf FROM res JOIN tf USING (doc_id)),
+lens AS (SELECT qid, doc_id, coalesce(sum(tf), 0) AS len FROM res LEFT JOIN tf USING (doc_id) GROUP BY qid, doc_id),
+cf AS (SELECT qid, term, sum(tf) AS cf FROM held GROUP BY qid, term),
+tot AS (SELECT qid, sum(cf) AS total FROM cf GROUP BY qid),
+bg AS (SELECT qid, term, cf / total AS b FROM (SELECT qid, term, cf * 1.0 AS cf FROM cf UNION ALL SELECT qid, '<UNK>', floor(0.005 * total) FROM tot) JOIN tot USING (qid)),
+qt AS (SELECT t.qid, CASE WHEN bg.b IS NULL THEN '<UNK>' ELSE t.term END AS term, count(*) AS n FROM title t LEFT JOIN bg ON t.qid = bg.qid AND t.term = bg.term WHERE t.term <> '' GROUP BY 1, 2),
+ll AS (
+  SELECT l.qid, l.doc_id, l.len, coalesce(sum(qt.n * ln((coalesce(h.tf, 0) + 250 * bg.b) / (l.len + 250))), 0) AS ll
+  FROM lens l LEFT JOIN (qt JOIN bg ON qt.qid = bg.qid AND qt.term = bg.term AND bg.b > 0) ON l.qid = qt.qid
+  LEFT JOIN held h ON h.qid = l.qid AND h.doc_id = l.doc_id AND h.term = qt.term GROUP BY l.qid, l.doc_id, l.len
+)
+"""
+ORACLES["query_likelihood"] = f"WITH {_INDEX}, {_QUERY}, {_LM} SELECT qid, doc_id, round(ll, 6) AS score FROM ll"
+ORACLES["rm1_rerank"] = f"""
+WITH {_INDEX}, {_QUERY}, {_LM},
+lam AS (SELECT qid, doc_id, len, exp(ll - max(ll) OVER (PARTITION BY qid)) AS e FROM ll),
+lam2 AS (SELECT *, e / sum(e) OVER (PARTITION BY qid) AS lam FROM lam),
+dense AS (
+  SELECT a.qid, a.doc_id, bg.term, a.lam, (coalesce(h.tf, 0) + 250 * bg.b) / (a.len + 250) AS p
+  FROM lam2 a JOIN bg ON a.qid = bg.qid LEFT JOIN held h ON h.qid = a.qid AND h.doc_id = a.doc_id AND h.term = bg.term WHERE bg.b > 0
+),
+rel AS (SELECT qid, term, sum(lam * p) AS r FROM dense GROUP BY qid, term)
+SELECT d.qid, d.doc_id, round(1 - sum(p * log10(p / r)), 6) AS score FROM dense d JOIN rel ON d.qid = rel.qid AND d.term = rel.term GROUP BY d.qid, d.doc_id
+"""
+ORACLES["expansion_topk"] = """
+WITH v AS (SELECT label AS qid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT qid, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+q AS (SELECT qid, min(vec_id) AS vec_id FROM u GROUP BY qid),
+s AS (
+  SELECT u.qid, CAST(u.vec_id AS VARCHAR) AS word, list_dot_product(u.e, c.e) / (u.norm * c.norm) AS sim
+  FROM q JOIN u c ON q.qid = c.qid AND q.vec_id = c.vec_id JOIN u ON u.qid = q.qid
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, word DESC) AS place FROM s)
+SELECT qid, word, round(sim, 6) AS sim, round(sim / sum(sim) OVER (PARTITION BY qid), 6) AS weight FROM k WHERE place <= 10
+"""
+ORACLES["length_histogram"] = """
+WITH x AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents)
+SELECT CAST(least(floor((n_chars - lo) / ((hi - lo) / 30.0)), 29) AS INTEGER) AS bin, count(*) AS n FROM documents, x WHERE n_chars IS NOT NULL GROUP BY 1
+"""
+ORACLES["hourly_events"] = "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+_FUSE = """
+rows AS (SELECT qid, doc_id, label, row_id, unnest(map_keys(ranks)) AS e, unnest(map_values(ranks)) AS r0 FROM engine_ranks),
+long AS (SELECT qid, doc_id, label, row_id, e, CASE WHEN r0 >= 1 THEN r0 END AS r FROM rows),
+docs AS (SELECT qid, doc_id, min(row_id) AS seq FROM engine_ranks GROUP BY qid, doc_id),
+top AS (SELECT e, max(r) AS top FROM long GROUP BY e)
+"""
+
+
+def _fused(part: str, source: str = "long") -> str:
+    return f"SELECT d.qid, d.doc_id, d.seq, round(coalesce(s.score, 0.0), 6) AS score FROM docs d LEFT JOIN (SELECT qid, doc_id, sum({part}) AS score FROM {source} WHERE r IS NOT NULL GROUP BY qid, doc_id) s ON d.qid = s.qid AND d.doc_id = s.doc_id"
+
+
+_RRF = _fused("1.0 / (100 + r)")
+_BORDA = _fused("CAST(top - r + 1 AS DOUBLE)", "(SELECT * FROM long JOIN top USING (e))")
+_WEIGHTS = "w AS (SELECT e, coalesce(sum(label * 1.0 / (100 + r)), 0) AS s FROM long GROUP BY e), w2 AS (SELECT e, s / sum(s) OVER () AS w FROM w)"
+ORACLES["rrf"] = f"WITH {_FUSE} SELECT qid, doc_id, score FROM ({_RRF})"
+ORACLES["borda"] = f"WITH {_FUSE} SELECT qid, doc_id, score FROM ({_BORDA})"
+ORACLES["weighted_borda"] = f"WITH {_FUSE}, {_WEIGHTS} SELECT qid, doc_id, score FROM ({_fused('w * (top - r + 1)', '(SELECT * FROM long JOIN top USING (e) JOIN w2 USING (e))')})"
+ORACLES["condorcet"] = f"""
+WITH {_FUSE}, first AS (SELECT d.qid, d.doc_id, d.seq, l.e, l.r FROM docs d LEFT JOIN long l ON l.row_id = d.seq),
+b AS ({_BORDA}),
+eng AS (SELECT DISTINCT qid, e FROM first WHERE e IS NOT NULL),
+votes AS (
+  SELECT x.qid, x.doc_id AS d1, y.doc_id AS d2,
+    sum(CASE WHEN a.r IS NULL AND c.r IS NULL THEN 0 WHEN c.r IS NULL THEN 1 WHEN a.r IS NULL THEN -1 WHEN a.r < c.r THEN 1 ELSE -1 END) AS v
+  FROM docs x JOIN docs y ON x.qid = y.qid AND x.seq < y.seq JOIN eng ON eng.qid = x.qid
+  LEFT JOIN first a ON a.qid = x.qid AND a.doc_id = x.doc_id AND a.e = eng.e
+  LEFT JOIN first c ON c.qid = y.qid AND c.doc_id = y.doc_id AND c.e = eng.e GROUP BY x.qid, x.doc_id, y.doc_id
+),
+wins AS (SELECT qid, CASE WHEN v > 0 THEN d1 ELSE d2 END AS doc_id, count(*) AS wins FROM votes WHERE v <> 0 GROUP BY 1, 2)
+SELECT b.qid, b.doc_id, CAST(coalesce(wins, 0) AS DOUBLE) AS score, row_number() OVER (PARTITION BY b.qid ORDER BY coalesce(wins, 0) DESC, b.score DESC, b.seq) AS rank
+FROM b LEFT JOIN wins ON b.qid = wins.qid AND b.doc_id = wins.doc_id
+"""
+_SMOOTH = """SELECT e, slot, 1e-4 + sum(x) AS x FROM (
+  SELECT l.e, s.slot, {w} * exp(-((s.slot - r) * (s.slot - r)) / 2.0) / sqrt(2 * pi()) AS x FROM l JOIN top ON l.e = top.e,
+    LATERAL (SELECT unnest(range(greatest(1, r - {reach}), least(r + {reach}, top.top) + 1)) AS slot) s WHERE r IS NOT NULL AND {cond}
+  UNION ALL SELECT l.e, top.top + 1, {w} FROM l JOIN top ON l.e = top.e WHERE r IS NULL AND {cond}) GROUP BY e, slot"""
+ORACLES["bayes_fuse"] = f"""
+WITH {_FUSE}, l AS (SELECT *, coalesce(label, 0) AS lab FROM long),
+rel AS ({_SMOOTH.format(w="lab", reach=3, cond="lab > 0")}), irr AS ({_SMOOTH.format(w="1.0", reach=5, cond="lab <= 0")}),
+n AS (SELECT sum(CASE WHEN label > 0 THEN label END) AS a, sum(CASE WHEN coalesce(label, 0) <= 0 THEN 1 END) AS b FROM engine_ranks),
+first AS (SELECT DISTINCT l.qid, l.e FROM l JOIN (SELECT qid, min(row_id) AS s FROM engine_ranks GROUP BY qid) f ON l.row_id = f.s),
+odds AS (
+  SELECT l.qid, l.doc_id, l.r, ln(coalesce(rel.x, 1e-4) / n.a) - ln(coalesce(irr.x, 1e-4) / n.b) AS o
+  FROM l JOIN first ON l.qid = first.qid AND l.e = first.e LEFT JOIN rel ON rel.e = l.e AND rel.slot = l.r LEFT JOIN irr ON irr.e = l.e AND irr.slot = l.r, n WHERE l.r IS NOT NULL
+)
+SELECT qid, doc_id, score FROM ({_fused("o", "odds")})
+"""
+
+_JUDGED = f"""
+{_FUSE}, run AS (SELECT CAST(qid AS VARCHAR) AS qid, doc_id AS docno, CAST(score AS REAL) AS sim FROM ({_RRF})),
+qrels AS (SELECT CAST(qid AS VARCHAR) AS qid, doc_id AS docno, coalesce(max(label), -1) AS rel, CAST(min(row_id) % 2 AS VARCHAR) AS jg FROM engine_ranks GROUP BY qid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, docno DESC) AS r0 FROM run),
+j AS (SELECT qid, docno, r0, CASE WHEN rel IS NULL THEN -1 WHEN rel < 0 THEN -2 ELSE rel END AS rel FROM ranked LEFT JOIN qrels USING (qid, docno)),
+"""
+_STEPS = """
+k AS (
+  SELECT qid, docno, rel, row_number() OVER w AS r, CASE WHEN rel >= {L} THEN 1 ELSE 0 END AS is_rel, CAST(sum(CASE WHEN rel >= {L} THEN 1 ELSE 0 END) OVER w AS BIGINT) AS c,
+    CAST(coalesce(sum(CASE WHEN rel >= 0 AND rel < {L} THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS nn,
+    CAST(coalesce(sum(CASE WHEN rel <> -1 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pool, count(*) OVER (PARTITION BY qid) AS n
+  FROM j WHERE {keep} WINDOW w AS (PARTITION BY qid ORDER BY r0)
+),
+st AS (SELECT qid, sum(CASE WHEN rel >= {L} THEN 1 ELSE 0 END) AS nrel, sum(CASE WHEN rel >= 0 AND rel < {L} THEN 1 ELSE 0 END) AS nnon FROM qrels GROUP BY qid),
+"""
+_IDEAL = """
+ideal AS (SELECT qid, rel AS g, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS i FROM qrels WHERE rel > 0),
+tot AS (SELECT qid, count(*) AS npos, sum(g) AS gsum, sum(g / log2(i + 1)) AS idcg, sum(CASE WHEN i > 1 THEN g / log2(i) ELSE g END) AS idcg_p FROM ideal GROUP BY qid),
+borders AS (SELECT qid, g, m, sum(d) OVER (PARTITION BY qid ORDER BY g DESC) AS idcg FROM (SELECT qid, g, max(i) AS m, sum(g / log2(i + 1)) AS d FROM ideal GROUP BY qid, g)),
+f AS (
+  SELECT k.*, st.nrel, st.nnon, coalesce(npos, 0) AS npos, gsum, tot.idcg, idcg_p, greatest(k.rel, 0) AS g, coalesce(ideal.g, 0) AS ig,
+    sum(greatest(k.rel, 0) / log2(r + 1)) OVER w AS dcg, sum(coalesce(ideal.g, 0) / log2(r + 1)) OVER w AS idcg_r,
+    sum(greatest(k.rel, 0)) OVER w AS gain, sum(greatest(coalesce(ideal.g, 0), 1)) OVER w AS cost
+  FROM k JOIN st USING (qid) LEFT JOIN tot USING (qid) LEFT JOIN ideal ON ideal.qid = k.qid AND ideal.i = k.r WINDOW w AS (PARTITION BY k.qid ORDER BY r)
+)
+"""
+_BASE = _JUDGED + _STEPS.format(L=1, keep="TRUE") + _IDEAL
+ORACLES["judged_run"] = f"WITH {_BASE} SELECT qid, docno, r, rel, c, nn AS nonrel_above, pool AS pool_above FROM k"
+
+_AP = "coalesce(sum(CASE WHEN is_rel = 1 THEN c * 1.0 / r END), 0)"
+_R, _N = "any_value(nrel)", "any_value(n)"
+_DCG, _IDCG = "max(dcg)", "any_value(idcg)"
+_CUTS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
+
+
+def _over(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN ({a}) * 1.0 / ({b}) ELSE 0 END"
+
+
+def _hits(k: object) -> str:
+    return f"coalesce(max(CASE WHEN r <= {k} THEN c END), 0)"
+
+
+def _recall_precision(x: float) -> str:
+    return f"coalesce(max(CASE WHEN nrel > 0 AND c >= floor({x} * nrel + 0.9) THEN c * 1.0 / r END), 0)"
+
+
+_P, _REC = _over("sum(is_rel)", _N), _over("sum(is_rel)", _R)
+_SQL = {
+    "num_ret": [("num_ret", "count(*)")], "num_rel": [("num_rel", _R)], "num_rel_ret": [("num_rel_ret", "sum(is_rel)")],
+    "map": [("map", _over(_AP, _R))], "Rprec": [("Rprec", _over(_hits("nrel"), _R))],
+    "bpref": [("bpref", _over("coalesce(sum(CASE WHEN is_rel = 1 THEN CASE WHEN nn = 0 THEN 1.0 ELSE 1.0 - least(nn, nrel) * 1.0 / least(nnon, nrel) END END), 0)", _R))],
+    "recip_rank": [("recip_rank", "coalesce(1.0 / min(CASE WHEN is_rel = 1 THEN r END), 0)")],
+    "iprec_at_recall": [(f"iprec_at_recall_{x / 10:3.2f}", _recall_precision(x / 10)) for x in range(11)],
+    "11pt_avg": [("11pt_avg", "(" + " + ".join(_recall_precision(x / 10) for x in range(11)) + ") / 11.0")],
+    "P": [(f"P_{k}", f"{_hits(k)} / {k}.0") for k in _CUTS], "recall": [(f"recall_{k}", _over(_hits(k), _R)) for k in _CUTS],
+    "relative_P": [(f"relative_P_{k}", _over(_hits(k), f"least({k}, {_R})")) for k in _CUTS],
+    "success": [(f"success_{k}", f"CASE WHEN {_hits(k)} > 0 THEN 1.0 ELSE 0.0 END") for k in (1, 5, 10)],
+    "map_cut": [(f"map_cut_{k}", _over(f"coalesce(sum(CASE WHEN is_rel = 1 AND r <= {k} THEN c * 1.0 / r END), 0)", _R)) for k in _CUTS],
+    "Rprec_mult": [(f"Rprec_mult_{x / 5:3.2f}", _over(_hits(f"floor({x / 5} * nrel + 0.9)"), f"floor({x / 5} * {_R} + 0.9)")) for x in range(1, 11)],
+    "infAP": [("infAP", _over("coalesce(sum(CASE WHEN is_rel = 1 THEN CASE WHEN r = 1 THEN 1.0 ELSE 1.0 / r + ((r - 1.0) / r) * (pool / (r - 1.0)) * ((c - 1 + 0.00001) / (c - 1 + nn + 0.00002)) END END), 0)", _R))],
+    "utility": [("utility", f"1.0 * sum(is_rel) - ({_N} - sum(is_rel))")],
+    "binG": [("binG", _over("coalesce(sum(CASE WHEN is_rel = 1 THEN 1.0 / log2(2 + r - c) END), 0)", _R))],
+    "G": [("G", _over("coalesce(sum(CASE WHEN g <> 0 THEN g / log2(2 + cost - gain) END), 0)", "any_value(gsum)"))],
+    "ndcg": [("ndcg", _over(_DCG, _IDCG))], "ndcg_p": [("ndcg_p", _over("sum(CASE WHEN r > 1 THEN g / log2(r) ELSE g END)", "any_value(idcg_p)"))],
+    "ndcg_rel": [("ndcg_rel", _over(f"coalesce(sum(CASE WHEN g > 0 THEN dcg / idcg_r END), 0) + (any_value(npos) - sum(CASE WHEN g > 0 THEN 1 ELSE 0 END)) * ({_over(_DCG, _IDCG)})", "any_value(npos)"))],
+    "ndcg_cut": [(f"ndcg_cut_{k}", _over(f"coalesce(sum(CASE WHEN r <= {k} THEN g / log2(r + 1) END), 0)", f"any_value((SELECT sum(g / log2(i + 1)) FROM ideal x WHERE x.qid = f.qid AND i <= {k}))")) for k in _CUTS],
+    "set_P": [("set_P", _P)], "set_recall": [("set_recall", _REC)], "set_relative_P": [("set_relative_P", _over("sum(is_rel)", f"least({_N}, {_R})"))],
+    "set_map": [("set_map", _over("sum(is_rel) * sum(is_rel)", f"{_N} * {_R}"))], "set_F": [("set_F", _over(f"2 * ({_P}) * ({_REC})", f"(({_P}) + ({_REC}))"))],
+    "num_nonrel_judged_ret": [("num_nonrel_judged_ret", "sum(CASE WHEN rel >= 0 AND is_rel = 0 THEN 1 ELSE 0 END)")],
+    "yaap": [("yaap", f"ln(({_AP} + 1) / ({_R} - {_AP} + 1))")],
+}
+for _name, _labels in _SQL.items():
+    _cols = ", ".join(f"CAST({v} AS DOUBLE) AS \"{label}\"" for label, v in _labels)
+    _wide = f"SELECT qid, {_cols} FROM f GROUP BY qid"
+    ORACLES[f"m_{_name}"] = f"WITH {_BASE}, wide AS ({_wide}) " + " UNION ALL ".join(f"SELECT '{label}' AS measure, qid, round(\"{label}\", 6) AS value FROM wide" for label, _ in _labels)
+ORACLES["m_Rndcg"] = f"""
+WITH {_BASE}, b AS (
+  SELECT borders.qid, sum(f.dcg / borders.idcg) AS s, count(*) AS m FROM borders JOIN (SELECT DISTINCT qid, n FROM f) x USING (qid) JOIN f ON f.qid = borders.qid AND f.r = least(borders.m, x.n) GROUP BY borders.qid
+), t AS (SELECT qid, max(dcg) / any_value(idcg) AS last, CASE WHEN any_value(n) > any_value(npos) + 1 THEN 1 ELSE 0 END AS more FROM f GROUP BY qid)
+SELECT 'Rndcg' AS measure, t.qid, round(coalesce((b.s + CASE WHEN more = 1 THEN last ELSE 0 END) / (b.m + more), 0), 6) AS value FROM t LEFT JOIN b USING (qid)
+"""
+ORACLES["m_relstring"] = f"""
+WITH {_BASE} SELECT 'relstring' AS measure, qid, '''' || string_agg(CASE WHEN rel = -1 THEN '-' WHEN rel < 0 THEN '.' WHEN rel > 9 THEN '>' ELSE CAST(rel AS VARCHAR) END, '' ORDER BY r) || '''' AS value
+FROM f WHERE r <= 10 GROUP BY qid
+"""
+
+
+def _summary(base: str, counts: list[str], means: list[str], n_q: str = "count(*)") -> str:
+    cols = [v for m in counts + means for v in _SQL.get(m, [])]
+    cols += [x for m in ("P_5", "P_10") if m in means for x in _SQL["P"] if x[0] == m]
+    wide = "SELECT qid, " + ", ".join(f"CAST({v} AS DOUBLE) AS {label}" for label, v in cols) + " FROM f GROUP BY qid"
+    parts = [f"SELECT '{m}' AS measure, 'all' AS qid, round({'sum(' + m + ')' if m in counts else f'sum({m}) / {n_q}'}, 6) AS value, CAST(NULL AS VARCHAR) AS text FROM wide" for m in counts + means]
+    return f"WITH {base}, wide AS ({wide}) " + " UNION ALL ".join(parts)
+
+
+_COUNTS = ["num_rel", "num_ret", "num_rel_ret"]
+ORACLES["eval_level2_judged_only"] = _summary(_JUDGED + _STEPS.format(L=2, keep="rel >= 0") + _IDEAL.replace("FROM k JOIN st USING (qid)", "FROM k JOIN st USING (qid)"), _COUNTS, ["map", "P_5", "P_10"], "(SELECT count(DISTINCT qid) FROM qrels)")
+ORACLES["eval_complete_top20"] = _summary(_JUDGED + _STEPS.format(L=1, keep="r0 <= 20") + _IDEAL, _COUNTS, ["map", "P_5", "P_10", "recip_rank"], "(SELECT count(DISTINCT qid) FROM qrels)")
+ORACLES["preference_pair_counts"] = f"WITH {_BASE} SELECT a.qid, a.jg, count(*) AS pairs FROM qrels a JOIN qrels b ON a.qid = b.qid AND a.jg = b.jg AND a.rel > b.rel GROUP BY a.qid, a.jg"
+ORACLES["correct_counts"] = f"WITH {_BASE} SELECT q.qid, CAST(sum(CASE WHEN rel > 0 AND run.docno IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM qrels q LEFT JOIN run USING (qid, docno) GROUP BY q.qid"
+ORACLES["mean_f1"] = f"""
+WITH {_BASE} SELECT qid, round(({" + ".join(f"2.0 * {_hits(k)} / ({k} + {_R})" for k in (10, 20, 50, 100))}) / 4, 6) AS f1 FROM f WHERE nrel > 0 GROUP BY qid
+"""

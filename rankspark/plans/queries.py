@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankspark.operators import nested, packed
+from rankspark.functions import codec, text
+from rankspark.operators import bpe, evaluate, fusion, index, lm, measures, nested, packed, prefs as prefs_ops, search
+from rankspark.operators.judge import EvalConfig, judge, rank_run
+from rankspark.plans.stage import materialise
+from rankspark.sources import trec
+from rankspark.streaming import stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,3 +56,291 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every path packed into the two file fields of metadata."""
     stand_ins = packed.stand_in_list(table(spark, sf, "stand_ins"))
     return packed.explode_packed(table(spark, sf, "metadata"), "row_id", ["pdf_json_files", "pmc_json_files"], stand_ins, "file_path")
+
+
+# --- index and search: the topics are the queries, documents the collection -------------------------------------------
+
+
+def _topics(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "topics").select(F.col("query_number").alias("qid"), "title", "description")
+
+
+def _tf(spark: SparkSession, sf: str) -> DataFrame:
+    return index.term_frequencies(table(spark, sf, "documents"))
+
+
+def _n_docs(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "documents").select("doc_id").distinct().count()
+
+
+@query
+def tokens_tf(spark: SparkSession, sf: str) -> DataFrame:
+    return _tf(spark, sf)
+
+
+@query
+def doc_len(spark: SparkSession, sf: str) -> DataFrame:
+    return index.document_lengths(_tf(spark, sf))
+
+
+@query
+def df_idf(spark: SparkSession, sf: str) -> DataFrame:
+    return index.document_frequencies(_tf(spark, sf), _n_docs(spark, sf)).withColumn("idf", F.round("idf", 6))
+
+
+@query
+def doc_norms(spark: SparkSession, sf: str) -> DataFrame:
+    tf = materialise(_tf(spark, sf))
+    return index.document_norms(tf, index.document_frequencies(tf, _n_docs(spark, sf))).withColumn("norm", F.round("norm", 5))
+
+
+@query
+def postings_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every posting list with gaps in variable-byte form."""
+    p = index.packed_postings(_tf(spark, sf), index.numbered_documents(table(spark, sf, "documents")))
+    gaps = codec.gaps(F.transform("postings", lambda x: x["doc_idx"]))
+    size = F.aggregate(F.transform(gaps, codec.encoded_bytes), F.lit(0), lambda a, x: a + x)
+    return p.select("term", "df", size.cast("long").alias("gap_bytes"))
+
+
+@query
+def vbyte_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Posting lists encoded and decoded again, with the bytes of both codecs."""
+    p = index.packed_postings(_tf(spark, sf), index.numbered_documents(table(spark, sf, "documents")))
+    ids = p.select("term", F.transform("postings", lambda x: x["doc_idx"]).alias("ids"))
+    enc = ids.select("term", "ids", codec.vbyte_encode(codec.gaps(F.col("ids"))).alias("v"), codec.fixed_encode(F.col("ids")).alias("f"))
+    enc = enc.withColumns({"v2": codec.ungaps(codec.vbyte_decode(F.col("v"))), "f2": codec.fixed_decode(F.col("f"))})
+    same = (F.col("v2") == F.col("ids")) & (F.col("f2") == F.col("ids"))
+    return enc.select("term", F.length("v").alias("vbyte_bytes"), F.length("f").alias("fixed_bytes"), same.alias("same"))
+
+
+@query
+def query_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return search.query_terms(_topics(spark, sf), index.document_frequencies(_tf(spark, sf), _n_docs(spark, sf)))
+
+
+@query
+def tfidf_top10(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "documents"), _topics(spark, sf), 10, digits=6)
+
+
+def _results(spark: SparkSession, sf: str, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A result list per topic, term counts of the collection, and the topics' title terms."""
+    tf = materialise(_tf(spark, sf))
+    df = materialise(index.document_frequencies(tf, _n_docs(spark, sf)))
+    n = _n_docs(spark, sf)
+    results = materialise(search.top_k(search.tfidf_scores(tf, df, index.document_norms(tf, df), search.query_terms(_topics(spark, sf), df), n), k, 6))
+    terms = _topics(spark, sf).select("qid", F.explode(text.index_tokens(F.col("title"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("n"))
+    return results, tf, terms
+
+
+@query
+def query_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.query_likelihood(*_results(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def rm1_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.rm1_rerank(*_results(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings table as a local embedding per label: words are the vectors' ids."""
+    e = table(spark, sf, "embeddings")
+    return lm.unit_vectors(e.select(F.col("label").alias("qid"), F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec")))
+
+
+@query
+def expansion_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten nearest words to each label's least id, in its own embedding."""
+    v = _word_vectors(spark, sf)
+    q = v.groupBy("qid").agg(F.min(F.col("word").cast("long")).cast("string").alias("term")).withColumn("n", F.lit(1))
+    return lm.expansion_terms(v, q).select("qid", "word", F.round("sim", 6).alias("sim"), F.round("weight", 6).alias("weight"))
+
+
+@query
+def expansion_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Result lists re-ranked with expanded queries; the embedding's words are the terms of the results, its vectors
+    their counts over the list (a fixed stand-in for a trained embedding)."""
+    results, tf, terms = _results(spark, sf)
+    held = results.select("qid", "doc_id", "rank").join(tf, "doc_id")
+    vec = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
+    v = held.groupBy("qid", F.col("term").alias("word")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "tf"))).alias("m")).select("qid", "word", vec.alias("vec"))
+    return lm.expansion_rerank(results, tf, terms, lm.unit_vectors(v)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def preprocess_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", text.preprocess(F.col("text"), digits=True).alias("text"))
+
+
+@query
+def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.histogram(table(spark, sf, "documents"), "n_chars")
+
+
+@query
+def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens per document with merges learnt from the topics."""
+    merges = bpe.train(table(spark, sf, "topics"), 40, text="description")
+    m = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+    words = bpe.encode_tokens(table(spark, sf, "documents").select("doc_id", "text"), m)
+    return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+# --- rank fusion: the multi-engine table -------------------------------------------------------------------------------
+
+
+def _engines(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks below 1 are no ranks."""
+    e = table(spark, sf, "engine_ranks")
+    valid = F.transform_values("ranks", lambda k, v: F.when(v >= 1, v))
+    return e.select("qid", "doc_id", valid.alias("ranks"), "label", F.col("row_id").alias("seq"))
+
+
+def _fused(spark: SparkSession, sf: str, method: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return method(_engines(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def rrf(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, fusion.rrf)
+
+
+@query
+def borda(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, fusion.borda)
+
+
+@query
+def weighted_borda(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, fusion.weighted_borda)
+
+
+@query
+def condorcet(spark: SparkSession, sf: str) -> DataFrame:
+    return fusion.condorcet(_engines(spark, sf)).select("qid", "doc_id", "score", "rank")
+
+
+@query
+def bayes_fuse(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, fusion.bayes_fuse)
+
+
+# --- evaluation: the fused run against the table's labels --------------------------------------------------------------
+
+
+def _run(spark: SparkSession, sf: str) -> DataFrame:
+    return rrf(spark, sf).select(F.col("qid").cast("string").alias("qid"), F.col("doc_id").alias("docno"), F.col("score").cast("float").alias("sim"))
+
+
+def _qrels(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's greatest label; without any it is in the pool but unjudged."""
+    e = table(spark, sf, "engine_ranks")
+    return e.groupBy(F.col("qid").cast("string").alias("qid"), F.col("doc_id").alias("docno")).agg(F.coalesce(F.max("label"), F.lit(-1)).alias("rel"))
+
+
+def _evaluated(spark: SparkSession, sf: str, **cfg) -> DataFrame:
+    out = evaluate.evaluate(_run(spark, sf), _qrels(spark, sf), EvalConfig(**cfg))
+    return out.select("measure", "qid", F.round("value", 6).alias("value"), "text")
+
+
+@query
+def judged_run(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(_run(spark, sf), _qrels(spark, sf), EvalConfig()).select("qid", "docno", "r", "rel", "c", "nonrel_above", "pool_above")
+
+
+@query
+def eval_official(spark: SparkSession, sf: str) -> DataFrame:
+    return _evaluated(spark, sf)
+
+
+@query
+def eval_all_trec(spark: SparkSession, sf: str) -> DataFrame:
+    return _evaluated(spark, sf, measures=("all_trec", "yaap"))
+
+
+@query
+def eval_level2_judged_only(spark: SparkSession, sf: str) -> DataFrame:
+    return _evaluated(spark, sf, level=2, judged_only=True, measures=("map", "P.5,10", "num_rel", "num_ret", "num_rel_ret"))
+
+
+@query
+def eval_complete_top20(spark: SparkSession, sf: str) -> DataFrame:
+    return _evaluated(spark, sf, complete=True, max_docs=20, measures=("map", "P.5,10", "num_rel", "num_ret", "num_rel_ret", "recip_rank"))
+
+
+def _measure_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return _evaluated(spark, sf, measures=(name,), per_query=True, summary=False).select("measure", "qid", "value" if name != "relstring" else F.col("text").alias("value"))
+
+    f.__name__ = f"m_{name}"
+    f.__doc__ = f"{name} of every query."
+    return f
+
+
+for _name, _m in measures.REGISTRY.items():
+    if not _name.startswith("prefs_") and not _name.endswith("_avgjg") and _name not in ("runid", "num_q") and _m.avg != "geo":
+        query(_measure_query(_name))
+
+
+def _grouped(spark: SparkSession, sf: str) -> DataFrame:
+    """Judgments in two groups: by whether a document's first row has an odd number."""
+    e = table(spark, sf, "engine_ranks")
+    g = e.groupBy(F.col("qid").cast("string").alias("qid"), F.col("doc_id").alias("docno")).agg(F.coalesce(F.max("label"), F.lit(-1)).alias("rel"), (F.min("row_id") % 2).cast("string").alias("jg"))
+    return g.select("qid", "jg", "docno", "rel")
+
+
+@query
+def eval_judgment_groups(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluate.evaluate(_run(spark, sf), _grouped(spark, sf), EvalConfig(measures=("qrels_jg",), per_query=True, summary=False))
+    return out.select("measure", "qid", F.round("value", 6).alias("value"))
+
+
+@query
+def eval_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    """All preference measures, the labels taken as levels."""
+    prefs = _grouped(spark, sf).select("qid", "jg", F.lit("0").alias("jsg"), "docno", F.col("rel").cast("float").alias("level"))
+    out = evaluate.evaluate(_run(spark, sf), prefs, EvalConfig(measures=("all_prefs",), per_query=True, summary=False))
+    return out.select("measure", "qid", F.round("value", 6).alias("value"))
+
+
+@query
+def preference_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
+    p = _grouped(spark, sf).select("qid", "jg", F.lit("0").alias("jsg"), "docno", F.col("rel").cast("float").alias("level"))
+    return prefs_ops.preference_pairs(p)[0].groupBy("qid", "jg").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query
+def correct_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.correct_counts(_run(spark, sf), _qrels(spark, sf))
+
+
+@query
+def mean_f1(spark: SparkSession, sf: str) -> DataFrame:
+    r = rank_run(_run(spark, sf))
+    return evaluate.mean_f1(r, _qrels(spark, sf)).select("qid", F.round("f1", 6).alias("f1"))
+
+
+@query
+def mean_ndcg(spark: SparkSession, sf: str) -> DataFrame:
+    q = _qrels(spark, sf).where("rel >= 0")
+    out = evaluate.mean_ndcg(rank_run(_run(spark, sf)), q)
+    return out.select("qid", *[F.round(f"ndcg_{k}", 6).alias(f"ndcg_{k}") for k in (5, 10, 50)])
+
+
+@query
+def report(spark: SparkSession, sf: str) -> DataFrame:
+    """The printed form of the official measures."""
+    return evaluate.report_lines(evaluate.evaluate(_run(spark, sf), _qrels(spark, sf)))
+
+
+@query
+def run_file_lines(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = fusion.rrf(_engines(spark, sf))
+    return trec.run_lines(ranked, "rrf")
+
+
+@query
+def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.windowed_counts(table(spark, sf, "events"))
