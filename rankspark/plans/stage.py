@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,3 +35,27 @@ def maybe_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """Hint a broadcast only if the table was counted to hold at most ``limit`` rows; the join works either way."""
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As materialise(), but as a compressed Parquet table in the checkpoint folder: columns in order of size and
+    likeness take far less disk than checkpointed rows. The files live as long as the application's checkpoint folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the keys (a frame of one column): none of those is lost, few
+    others stay. The keys become a bitmap of at most ``bits`` bits (8 MB), whatever their number, which is all that is
+    broadcast; use it before a join to keep most of a wide table out of the shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    key = keys.columns[0]
+    at = keys.select(place(F.col(key)).alias("_p")).withColumn("_page", F.bitmap_bucket_number("_p")).repartition("_page")
+    pages = at.groupBy("_page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    j = df.withColumn("_p", place(F.col(column))).withColumn("_page", F.bitmap_bucket_number("_p")).join(F.broadcast(pages), "_page")
+    bit = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return j.where(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
