@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rankspark.plans.stage import materialise, maybe_broadcast
+from rankspark.plans.stage import materialise, maybe_broadcast, maybe_in, written
 
 SPAN, GRAM = 160, 64
 CHUNK = 1 << 18  # characters hashed at once; longer texts go in overlapping pieces
@@ -154,10 +154,12 @@ class SharedSpans:
         self.copies = materialise(keyed.join(cls.where("n > 1"), "h").select("doc", "rep", "n", "n_chars"))
         self.docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars"))
         self.texts = d.join(maybe_broadcast(self.copies.where("doc != rep").select("doc")), "doc", "left_anti")
-        marks = materialise(self.texts.mapInPandas(_fingerprint_batches, "fp bigint, doc bigint, pos int"))
+        marks = written(self.texts.mapInPandas(_fingerprint_batches, "fp bigint, doc bigint, pos int"))
         repeated = marks.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp")
-        near = marks.join(repeated, "fp", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("marks"))
-        self.edges = materialise(self.texts.join(near, "doc").mapInPandas(_edge_batches, "k1 bigint, k2 bigint, doc bigint, pos int, first boolean"))
+        near = written(marks.join(repeated, "fp", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("marks")))
+        # Most texts hold no repeated fingerprint; they stay out of the shuffles.
+        self.texts = maybe_in(self.texts, "doc", near.select("doc"))
+        self.edges = written(self.texts.join(near, "doc").mapInPandas(_edge_batches, "k1 bigint, k2 bigint, doc bigint, pos int, first boolean"))
         self.groups = materialise(
             self.edges.groupBy("k1", "k2")
             .agg(F.sum(F.col("first").cast("int")).alias("n"), F.expr("bit_xor(if(first, xxhash64(doc), 0L))").alias("colour"), F.min(F.struct("doc", "pos")).alias("src"))
