@@ -15,8 +15,8 @@ MAX_MERGES = 1_000_000
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
     """``rank, left, right`` of a merges file with two columns a line, in file order. Bytes are read as Latin-1."""
-    lines = spark.read.option("encoding", "ISO-8859-1").option("wholetext", True).text(path)
-    each = lines.select(F.posexplode(F.split("value", "\n")).alias("rank", "l")).where("l like '% %'")
+    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("value"))
+    each = whole.select(F.posexplode(F.split("value", "\n")).alias("rank", "l")).where("l like '% %'")
     return each.select("rank", F.split("l", " ")[0].alias("left"), F.split("l", " ")[1].alias("right"))
 
 

@@ -142,7 +142,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, cfg: EvalConfig | None = None, zs
 
 def report_lines(tidy: DataFrame) -> DataFrame:
     """``value``: printed lines ``measure(22) TAB qid TAB value`` with 4 decimals, counts without."""
-    number = F.when(F.col("measure").isin(*COUNTS), F.format_string("%d", F.col("value").cast("long"))).otherwise(F.format_string("%6.4f", F.col("value")))
+    number = F.when(F.col("measure").isin(*COUNTS), F.format_string("%d", F.col("value").cast("long"))).otherwise(F.replace(F.format_string("%6.4f", F.col("value")), F.lit("NaN"), F.lit("nan")))
     name = F.regexp_replace("measure", "^Z", "")  # no measure's own name starts with Z
     padded = F.concat(F.when(F.startswith("measure", F.lit("Z")), "Z").otherwise(""), F.rpad(name, F.greatest(F.lit(22), F.length(name)), " "))
     return tidy.select(F.concat(padded, F.lit("\t"), F.col("qid"), F.lit("\t"), F.coalesce("text", number)).alias("value"))

@@ -29,7 +29,7 @@ def training_sample(files: DataFrame, file: str = "file", doc_id: str = "doc_id"
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """``qid, title, description`` of topic blocks: <top>, <num> Number:, <title>, <desc>, <narr>."""
-    blocks = spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<top>(.*?)</top>"), F.lit(1))).alias("b"))
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<top>(.*?)</top>"), F.lit(1))).alias("b"))
     part = lambda tag, lead="": trim_ws(F.regexp_extract("b", rf"(?s)<{tag}>\s*{lead}(.*?)(?=<|$)", 1))
     return blocks.select(F.regexp_extract("b", r"<num>\s*Number:\s*(\d+)", 1).try_cast("int").alias("qid"), part("title").alias("title"), part("desc", r"(?:Description:)?\s*").alias("description"))
 
@@ -44,7 +44,7 @@ def read_metadata(spark: SparkSession, path: str, wanted: DataFrame | None = Non
     """``cord_uid, title, abstract, pdf_files, pmc_files`` of the metadata CSV: file lists are split at semicolons and
     keep what contains json. With ``wanted`` (cord_uid) only those rows."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    files = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x.contains("json"))
+    files = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x.contains("json"))
     out = df.select("cord_uid", "title", "abstract", files(F.col("pdf_json_files")).alias("pdf_files"), files(F.col("pmc_json_files")).alias("pmc_files"))
     return out if wanted is None else out.join(wanted.select("cord_uid").distinct(), "cord_uid", "left_semi")
 
