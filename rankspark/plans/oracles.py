@@ -234,3 +234,18 @@ ORACLES["correct_counts"] = f"WITH {_BASE} SELECT q.qid, CAST(sum(CASE WHEN rel
 ORACLES["mean_f1"] = f"""
 WITH {_BASE} SELECT qid, round(({" + ".join(f"2.0 * {_hits(k)} / ({k} + {_R})" for k in (10, 20, 50, 100))}) / 4, 6) AS f1 FROM f WHERE nrel > 0 GROUP BY qid
 """
+
+ORACLES["p7_found"] = r"""
+WITH f AS (
+  SELECT row_id, 'pdf_json_files' AS field_name, pdf_json_files AS s FROM metadata UNION ALL SELECT row_id, 'pmc_json_files', pmc_json_files FROM metadata
+), e AS (
+  SELECT row_id, field_name, unnest(l) AS e, unnest(range(len(l))) AS i
+  FROM (SELECT row_id, field_name, regexp_extract_all(s, '[ \[({<]*"(?:[^"]|"")*"|[ \[({<]*''(?:[^'']|'''')*''|[^;,|\x00-\x1f]+') AS l FROM f WHERE s IS NOT NULL)
+), t AS (
+  SELECT row_id, field_name, i, regexp_replace(e, '^[\s\[({<]+|[\s\])}>]+$', '', 'g') AS v FROM e
+), u AS (
+  SELECT row_id, field_name, i, trim(CASE WHEN v LIKE '"%"' AND len(v) > 1 THEN replace(v[2:-2], '""', '"') WHEN v LIKE '''%''' AND len(v) > 1 THEN replace(v[2:-2], '''''', '''') ELSE regexp_replace(v, '^["'']+|["'']+$', '', 'g') END) AS v FROM t
+)
+SELECT row_id, field_name, CAST(row_number() OVER (PARTITION BY row_id, field_name ORDER BY i) AS INTEGER) AS pos, v AS file_path
+FROM u WHERE v <> '' AND lower(v) NOT IN (SELECT lower(trim(stand_in)) FROM stand_ins WHERE stand_in IS NOT NULL)
+"""

@@ -14,7 +14,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rankspark_ckpt_"))
 
 
@@ -49,12 +49,15 @@ def written(df: DataFrame) -> DataFrame:
 
 def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among the keys (a frame of one column): none of those is lost, few
-    others stay. The keys become a bitmap of at most ``bits`` bits (8 MB), whatever their number, which is all that is
-    broadcast; use it before a join to keep most of a wide table out of the shuffle."""
+    others stay. The keys become a bitmap of ``bits`` bits (8 MB), whatever their number, which is all that is broadcast:
+    its size does not depend on the data. Use it before a join to keep most of a wide table out of the shuffle."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     key = keys.columns[0]
     at = keys.select(place(F.col(key)).alias("_p")).withColumn("_page", F.bitmap_bucket_number("_p")).repartition("_page")
-    pages = at.groupBy("_page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    pages = at.groupBy("_page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_set"))
+    per_page = 8 * 4096
+    every = df.sparkSession.range(1, bits // per_page + 1).withColumnRenamed("id", "_page")
+    pages = every.join(pages, "_page", "left").select("_page", F.coalesce("_set", F.unhex(F.repeat(F.lit("00"), F.lit(per_page // 8)))).alias("_bits"))
     j = df.withColumn("_p", place(F.col(column))).withColumn("_page", F.bitmap_bucket_number("_p")).join(F.broadcast(pages), "_page")
     bit = F.bitmap_bit_position("_p")
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
