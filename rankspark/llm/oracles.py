@@ -64,3 +64,29 @@ SELECT qid, doc_id FROM ahead JOIN (SELECT qid, count(*) AS n_docs FROM docs GRO
 ORACLES["p8_found"] = r"""
 SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) > 2048
 """
+
+ORACLES["p6_found"] = r"""
+WITH stand AS (SELECT lower(trim(stand_in)) AS s FROM stand_ins WHERE stand_in IS NOT NULL), rows AS (
+  SELECT lower(regexp_replace(cord_uid, '^\s+|\s+$', '', 'g')) AS key, lower(regexp_replace(source_x, '^\s+|\s+$', '', 'g')) AS src, * FROM metadata WHERE cord_uid IS NOT NULL
+), entries AS (
+  SELECT DISTINCT row_id FROM (SELECT row_id, lower(regexp_replace(unnest(string_split_regex(pmc_json_files, '[;,|\x00-\x1f]')), '^[\s\[({<"'']+|[\s\])}>"'']+$', '', 'g')) AS e FROM metadata)
+  WHERE e <> '' AND e NOT IN (SELECT s FROM stand)
+), claims AS (
+  SELECT key, src, updated_at, row_id, 'title' AS field_name, title AS v FROM rows UNION ALL SELECT key, src, updated_at, row_id, 'abstract', abstract FROM rows
+  UNION ALL SELECT key, src, updated_at, row_id, 'pmc_json_files', pmc_json_files FROM rows WHERE row_id IN (SELECT row_id FROM entries)
+), valued AS (
+  SELECT c.*, t.trust FROM claims c LEFT JOIN (SELECT lower(trim(source_x)) AS src, max(trust) AS trust FROM source_trust GROUP BY 1) t ON t.src = c.src
+  WHERE v IS NOT NULL AND regexp_replace(v, '\s+', '', 'g') <> '' AND (field_name = 'pmc_json_files' OR lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) NOT IN (SELECT s FROM stand))
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key, field_name ORDER BY trust DESC NULLS LAST, updated_at DESC NULLS LAST, row_id) AS k FROM valued
+)
+SELECT key AS cord_uid, field_name, row_id FROM placed WHERE k = 1 AND key <> '' AND key IN (SELECT key FROM rows GROUP BY key HAVING count(*) > 1)
+"""
+
+# Words stand for tokens: which sources fall short does not depend on the tokenizer.
+ORACLES["p9_found"] = r"""
+WITH d AS (SELECT regexp_replace(lower(source), '[\s_-]+', '', 'g') AS key, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n FROM documents),
+have AS (SELECT key, sum(n) AS n FROM d GROUP BY key), t AS (SELECT *, regexp_replace(lower(source), '[\s_-]+', '', 'g') AS key FROM mix_targets)
+SELECT t.source FROM t LEFT JOIN have USING (key)
+WHERE coalesce(max_repeats, 0) * coalesce(n, 0) < weight / (SELECT sum(weight) FROM mix_targets) * (SELECT sum(n) FROM d)
+"""
