@@ -51,7 +51,7 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -
     """Rows of ``df`` whose ``column`` may be among the keys (a frame of one column): none of those is lost, few
     others stay. The keys become a bitmap of ``bits`` bits (8 MB), whatever their number, which is all that is broadcast:
     its size does not depend on the data. Use it before a join to keep most of a wide table out of the shuffle."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # from 1, as the pages count
     key = keys.columns[0]
     at = keys.select(place(F.col(key)).alias("_p")).withColumn("_page", F.bitmap_bucket_number("_p")).repartition("_page")
     pages = at.groupBy("_page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_set"))

@@ -172,3 +172,15 @@ def test_streaming_statistics(spark, tmp_path):
     s = stats.document_stream(spark, str(tmp_path / "in"), "doc_id long, text string")
     stats.term_statistics_stream(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r.term: (r.tf, r.df) for r in stats.read_term_statistics(spark, str(tmp_path / "out")).collect()} == {"a": (2, 1), "b": (2, 2)}
+
+
+def test_bitmap_prefilter_loses_no_key(spark):
+    from rankspark.plans.stage import maybe_in, written
+
+    df, keys = spark.range(-500, 4000).withColumnRenamed("id", "x"), spark.range(-100, 4000, 7).withColumnRenamed("id", "k")
+    for bits in (1 << 15, 1 << 20):
+        got = maybe_in(df, "x", keys, bits)
+        assert keys.join(got, F.col("k") == F.col("x"), "left_anti").count() == 0
+        assert got.count() <= df.count()
+    assert maybe_in(df, "x", keys.limit(0)).count() == 0
+    assert written(keys).count() == keys.count()
