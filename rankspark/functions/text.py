@@ -79,6 +79,17 @@ def drop_stop_words(words: Column, stop: list[str] | None = None) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop or STOP_WORDS))
 
 
+def stem(words: Column, language: str = "english") -> Column:
+    """An array of words, each brought to its Snowball stem. Needs the optional package snowballstemmer."""
+    try:
+        import snowballstemmer
+    except ImportError as e:
+        raise ImportError("stemming needs the package snowballstemmer") from e
+    stemmer = snowballstemmer.stemmer(language)
+    run = F.pandas_udf(lambda xs: xs.map(lambda a: None if a is None else stemmer.stemWords(list(a))), "array<string>")
+    return run(words)
+
+
 def mask_digits(c: Column) -> Column:
     """Numbers, with a decimal part or not, become <NUMBER>."""
     return F.regexp_replace(c, r"\d+(\.\d+)?", "<NUMBER>")

@@ -20,6 +20,17 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
     return each.select("rank", F.split("l", " ")[0].alias("left"), F.split("l", " ")[1].alias("right"))
 
 
+def write_merges(spark: SparkSession, merges: list[tuple[str, str]], path: str) -> None:
+    """One text file of two columns a line, in order; the bytes behind the Latin-1 text are written."""
+    text = "".join(f"{a} {b}\n" for a, b in merges)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("latin-1")))
+    finally:
+        out.close()
+
+
 def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Tokens of a word as Latin-1 text of its UTF-8 bytes. The merges apply in the order of their ranks, each once: a
     pair that only arises after its turn stays."""

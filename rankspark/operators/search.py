@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankspark.functions.text import index_tokens
-from rankspark.operators.index import document_frequencies, document_norms, term_frequencies, tf_weight
+from rankspark.operators.index import document_frequencies, document_norms, read_index, term_frequencies, tf_weight
 from rankspark.plans.stage import materialise, maybe_broadcast
 
 COMMON_SHARE, COMMON_FROM = 0.25, 10_000  # fixed values: terms of more than a quarter of a large collection are left out
@@ -47,3 +47,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 100, doc_id: str = "doc
     n = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().count()
     df = materialise(document_frequencies(tf, n))
     return top_k(tfidf_scores(tf, df, document_norms(tf, df), query_terms(queries, df), n), k, digits)
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 100, digits: int | None = None) -> DataFrame:
+    """Answer ``queries`` from the tables of write_index(); only the postings of the queries' terms are used."""
+    t = read_index(spark, path)
+    n = t["config"].first().n_docs
+    return top_k(tfidf_scores(t["postings"], t["dictionary"], t["norms"], query_terms(queries, t["dictionary"]), n), k, digits)

@@ -46,6 +46,8 @@ def test_index_round_trip_and_search(spark, tmp_path):
     q = spark.createDataFrame([(1, "fish", "zzz"), (2, "nothing here", "")], "qid int, title string, description string")
     top = search.search(docs, q, 10).collect()
     assert {(r.qid, r.doc_id) for r in top} == {(1, 0), (1, 1)}
+    stored = search.search_index(spark, str(tmp_path), q, 10).collect()
+    assert {(r.qid, r.doc_id, round(r.score, 9)) for r in stored} == {(r.qid, r.doc_id, round(r.score, 9)) for r in top}
     packed = index.packed_postings(t["postings"], index.numbered_documents(docs)).where("term = 'fish'").first()
     assert [(p.doc_idx, p.tf) for p in packed.postings] == [(0, 2), (1, 1)]
 
@@ -129,6 +131,8 @@ def test_read_merges(spark, tmp_path):
     (tmp_path / "m").write_bytes(b"t h\n\xc3 \xa9\nth e\n")
     rows = bpe.read_merges(spark, str(tmp_path / "m")).orderBy("rank").collect()
     assert [tuple(r) for r in rows] == [(0, "t", "h"), (1, "\xc3", "\xa9"), (2, "th", "e")]
+    bpe.write_merges(spark, [(r.left, r.right) for r in rows], str(tmp_path / "again"))
+    assert (tmp_path / "again").read_bytes() == (tmp_path / "m").read_bytes()
     ranks = {(r.left, r.right): r.rank for r in rows}
     assert bpe.encode_word("thé", ranks) == ["th", "\xc3\xa9"]
 
