@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankspark.functions.text import index_tokens
 from rankspark.operators.bpe import encode_tokens
-from rankspark.plans.stage import maybe_broadcast
+from rankspark.plans.stage import maybe_broadcast, numbered
+
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log2(F.lit(1.0) + n_docs / df)
@@ -50,8 +51,7 @@ def packed_postings(tf: DataFrame, doc_idx: DataFrame) -> DataFrame:
 def numbered_documents(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, doc_idx``: distinct documents numbered from 0 in the order of their id, by a range-partitioned sort."""
     d = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").distinct()
-    ranged = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return d.sparkSession.createDataFrame(ranged.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, doc_idx bigint")
+    return numbered(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "doc_idx")
 
 
 def write_index(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", partitions: int | None = None) -> None:

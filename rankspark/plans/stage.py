@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -62,3 +62,14 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -
     bit = F.bitmap_bit_position("_p")
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return j.where(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number ``name`` from 0 without gaps, contiguous within each partition and in its order: the place
+    in the partition plus the sizes of the partitions before it. ``df`` is materialised; what is broadcast is one row per partition."""
+    local = materialise(df).withColumn("_m", F.monotonically_increasing_id())
+    pid, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = local.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return local.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid").select(*df.columns, (at + F.col("_off")).alias(name))
