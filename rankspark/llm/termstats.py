@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankspark.functions.text import term_tokens
-from rankspark.plans.stage import materialise
+from rankspark.plans.stage import materialise, numbered
 
 RANGE = 4096
 
@@ -34,12 +34,7 @@ def term_counts(records: DataFrame, key: str, text: Column) -> DataFrame:
 def dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
     """``term, term_id``: distinct terms numbered from 0 without gaps. The numbers of one partition are contiguous:
     the place in the partition plus the sizes of the partitions before it."""
-    local = materialise(terms.select(column).distinct()).withColumn("_m", F.monotonically_increasing_id())
-    pid, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = local.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition.
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.withColumn("_pid", pid).join(F.broadcast(offsets.drop("_n")), "_pid").select(column, (at + F.col("_off")).alias("term_id"))
+    return numbered(terms.select(column).distinct(), "term_id")
 
 
 def _emit(blocks: dict[int, np.ndarray]) -> pd.DataFrame:
