@@ -19,30 +19,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankspark.plans.stage import materialise
 
 CHUNK = 256
+SPLITS = 8  # tasks that one document's rows, or one query's documents, are dealt to
 
 
-def best_ranks(rows: DataFrame, qid: str = "qid", doc: str = "doc_id", ranks: str = "ranks") -> DataFrame:
-    """``qid, doc_id, ranks map<int,int>``: a document's smallest valid rank per engine. A rank that is null or below
-    1 is none; a document without any has an empty map. Rows without qid or document are dropped."""
-    rows = rows.where(F.col(qid).isNotNull() & F.col(doc).isNotNull()).select(F.col(qid).alias("qid"), F.col(doc).alias("doc_id"), F.col(ranks).alias("ranks"))
-    long = rows.select("qid", "doc_id", F.explode_outer("ranks").alias("engine", "rank"))
-    per = long.groupBy("qid", "doc_id", "engine").agg(F.min(F.when(F.col("rank") >= 1, F.col("rank"))).alias("rank"))
-    pair = F.when(F.col("rank").isNotNull(), F.struct("engine", "rank"))
-    return per.groupBy("qid", "doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("ranks"))
+def best_ranks(rows: DataFrame, qid: str = "qid", doc: str = "doc_id", ranks: str = "ranks", splits: int = SPLITS) -> DataFrame:
+    """``qid, bucket, doc_id, ranks map<int,int>``: a document's smallest valid rank per engine. A rank that is null or
+    below 1 is none; a document without any has an empty map. Rows without qid or document are dropped.
+
+    Whole maps are shuffled, not single ranks: first dealt by document and a salt, so that a document in very many
+    rows is merged in several tasks, then by query and bucket, so that a query with very many documents is split.
+    """
+    valid = F.filter(F.map_entries(ranks), lambda e: e["value"] >= 1)
+    rows = rows.where(F.col(qid).isNotNull() & F.col(doc).isNotNull()).select(F.col(qid).alias("qid"), F.col(doc).alias("doc_id"), F.coalesce(valid, F.array().cast("array<struct<key:int,value:int>>")).alias("es"))
+
+    def merged(df: DataFrame, by: list[str]) -> DataFrame:
+        """Smallest rank per engine; ``df`` is partitioned by what ``by`` holds, so nothing is shuffled."""
+        long = df.select(*by, F.explode_outer("es").alias("e"))
+        per = long.groupBy(*by, F.col("e.key").alias("key")).agg(F.min("e.value").alias("value"))
+        return per.groupBy(*by).agg(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))).alias("es"))
+
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("es"), F.lit(splits))).repartition("qid", "doc_id", "_salt")
+    once = merged(salted, ["qid", "doc_id", "_salt"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(splits)))
+    return merged(once.repartition("qid", "bucket"), ["qid", "bucket", "doc_id"]).select("qid", "bucket", "doc_id", F.map_from_entries(F.sort_array("es")).alias("ranks"))
 
 
 def query_stats(docs: DataFrame, rows: DataFrame, tail: float = 0.05, qid: str = "qid", ranks: str = "ranks") -> DataFrame:
     """Per query: number of documents, number of engines named in any map, and per engine what the distances need:
-    ``stats map<engine, struct<lo, hi, worst, best, norm>>`` (as long as there are engines)."""
+    ``stats map<engine, struct<lo, hi, worst, anti, norm>>`` (as long as there are engines)."""
     long = docs.select("qid", F.explode("ranks").alias("engine", "rank"))
     cut = long.groupBy("qid", "engine").agg(F.percentile_approx("rank", [tail, 1 - tail], 1000).alias("q"))
-    # The sums of squares of the clipped ranks; the clip bounds are joined per (query, engine), on rows the
-    # aggregation has reduced to one per rank value.
-    values = long.groupBy("qid", "engine", "rank").agg(F.count(F.lit(1)).alias("n"))
+    cuts = cut.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("engine", "q"))).alias("cuts"))
+    # The clip bounds come to the documents as one map per query, so that only sums are shuffled afterwards.
+    held = docs.join(cuts, "qid").select("qid", F.explode("ranks").alias("engine", "rank"), "cuts").withColumn("q", F.col("cuts")[F.col("engine")])
     clipped = F.least(F.greatest(F.col("rank"), F.col("q")[0]), F.col("q")[1]).cast("double")
-    sums = values.join(cut, ["qid", "engine"]).groupBy("qid", "engine").agg(
-        F.sum(F.col("n") * clipped * clipped).alias("sq"), F.sum("n").alias("n"), F.first("q").alias("q")
-    )
+    sums = held.groupBy("qid", "engine").agg(F.sum(clipped * clipped).alias("sq"), F.count(F.lit(1)).alias("n"), F.first("q").alias("q"))
     sizes = docs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"))
     named = rows.where(F.col(qid).isNotNull()).select(F.col(qid).alias("qid"), F.explode(F.map_keys(ranks)).alias("engine")).groupBy("qid").agg(F.collect_set("engine").alias("named"))
     lo, hi = F.col("q")[0].cast("double"), F.col("q")[1].cast("double")
