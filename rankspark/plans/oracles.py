@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rankspark.functions.text import PUNCTUATION, STOP_WORDS
+
 ORACLES: dict[str, str] = {}
 
 _TOKENS = r"""string_split_regex(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \n.:;"''?!,~`()/#*%+\-\[\]{{}}@^]+')"""
@@ -174,7 +176,7 @@ def _hits(k: object) -> str:
 
 
 def _recall_precision(x: float) -> str:
-    return f"coalesce(max(CASE WHEN nrel > 0 AND c >= floor({x} * nrel + 0.9) THEN c * 1.0 / r END), 0)"
+    return f"coalesce(max(CASE WHEN nrel > 0 AND c >= floor(CAST({x} AS DOUBLE) * nrel + CAST(0.9 AS DOUBLE)) THEN c * 1.0 / r END), 0)"
 
 
 _P, _REC = _over("sum(is_rel)", _N), _over("sum(is_rel)", _R)
@@ -189,7 +191,7 @@ _SQL = {
     "relative_P": [(f"relative_P_{k}", _over(_hits(k), f"least({k}, {_R})")) for k in _CUTS],
     "success": [(f"success_{k}", f"CASE WHEN {_hits(k)} > 0 THEN 1.0 ELSE 0.0 END") for k in (1, 5, 10)],
     "map_cut": [(f"map_cut_{k}", _over(f"coalesce(sum(CASE WHEN is_rel = 1 AND r <= {k} THEN c * 1.0 / r END), 0)", _R)) for k in _CUTS],
-    "Rprec_mult": [(f"Rprec_mult_{x / 5:3.2f}", _over(_hits(f"floor({x / 5} * nrel + 0.9)"), f"floor({x / 5} * {_R} + 0.9)")) for x in range(1, 11)],
+    "Rprec_mult": [(f"Rprec_mult_{x / 5:3.2f}", _over(_hits(f"floor(CAST({x / 5} AS DOUBLE) * nrel + CAST(0.9 AS DOUBLE))"), f"floor(CAST({x / 5} AS DOUBLE) * {_R} + CAST(0.9 AS DOUBLE))")) for x in range(1, 11)],
     "infAP": [("infAP", _over("coalesce(sum(CASE WHEN is_rel = 1 THEN CASE WHEN r = 1 THEN 1.0 ELSE 1.0 / r + ((r - 1.0) / r) * (pool / (r - 1.0)) * ((c - 1 + 0.00001) / (c - 1 + nn + 0.00002)) END END), 0)", _R))],
     "utility": [("utility", f"1.0 * sum(is_rel) - ({_N} - sum(is_rel))")],
     "binG": [("binG", _over("coalesce(sum(CASE WHEN is_rel = 1 THEN 1.0 / log2(2 + r - c) END), 0)", _R))],
@@ -249,3 +251,43 @@ WITH f AS (
 SELECT row_id, field_name, CAST(row_number() OVER (PARTITION BY row_id, field_name ORDER BY i) AS INTEGER) AS pos, v AS file_path
 FROM u WHERE v <> '' AND lower(v) NOT IN (SELECT lower(trim(stand_in)) FROM stand_ins WHERE stand_in IS NOT NULL)
 """
+
+
+def _summaries(names: list[str]) -> str:
+    """Summary rows of measures: sums of counts, means, and geometric means with their floor; Rndcg from its own query."""
+    labels = [(m, label, v) for m in names for label, v in _SQL.get(m, [])]
+    wide = "SELECT qid, " + ", ".join(f'CAST({v} AS DOUBLE) AS "{label}"' for _, label, v in labels) + " FROM f GROUP BY qid"
+    row = "SELECT '{}' AS measure, 'all' AS qid, round({}, 6) AS value, CAST(NULL AS VARCHAR) AS text FROM {}"
+    parts = [row.format("num_q", "CAST(count(*) AS DOUBLE)", "wide")] if "num_q" in names else []
+    parts += [row.format(label, f'sum("{label}")' if m.startswith("num_") else f'avg("{label}")', "wide") for m, label, _ in labels]
+    parts += [row.format(f"gm_{m}", f'exp(avg(ln(greatest("{m}", 0.00001))))', "wide") for m in ("map", "bpref") if f"gm_{m}" in names]
+    if "Rndcg" in names:
+        parts.append(row.format("Rndcg", "avg(value)", f"({ORACLES['m_Rndcg']})"))
+    return f"WITH {_BASE}, wide AS ({wide}) " + " UNION ALL ".join(parts)
+
+
+_OFFICIAL = "num_q num_ret num_rel num_rel_ret map gm_map Rprec bpref recip_rank iprec_at_recall P".split()
+ORACLES["eval_official"] = _summaries(_OFFICIAL)
+ORACLES["eval_all_trec"] = _summaries(
+    _OFFICIAL + "recall infAP gm_bpref utility 11pt_avg ndcg relative_P Rprec_mult success map_cut ndcg_cut ndcg_rel Rndcg binG G set_P set_recall set_relative_P set_map set_F num_nonrel_judged_ret yaap".split()
+)
+_LINEAR = "sum(CASE WHEN r <= {k} THEN greatest(rel, 0) / log2(r + 1) END)"
+ORACLES["mean_ndcg"] = f"""
+WITH {_BASE}, best AS (
+  SELECT qid, {", ".join(f"sum(CASE WHEN i <= {k} THEN rel / log2(i + 1) END) AS i{k}" for k in (5, 10, 50))}
+  FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC) AS i FROM qrels WHERE rel >= 0) GROUP BY qid
+), got AS (SELECT qid, {", ".join(f"{_LINEAR.format(k=k)} AS d{k}" for k in (5, 10, 50))} FROM k GROUP BY qid)
+SELECT qid, {", ".join(f"round(CASE WHEN i{k} > 0 THEN coalesce(d{k}, 0) / i{k} ELSE 0 END, 6) AS ndcg_{k}" for k in (5, 10, 50))} FROM got JOIN best USING (qid)
+"""
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+ORACLES["preprocess_text"] = rf"""
+WITH a AS (
+  SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda w: w <> '' AND w NOT IN ({_quoted(STOP_WORDS)})), ' ') AS t FROM documents
+), b AS (SELECT doc_id, array_to_string(list_filter(string_split(translate(t, {_quoted([PUNCTUATION])}, ''), ' '), lambda w: w <> ''), ' ') AS t FROM a)
+SELECT doc_id, regexp_replace(t, '\d+(\.\d+)?', '<NUMBER>', 'g') AS text FROM b
+"""
