@@ -291,3 +291,52 @@ WITH a AS (
 ), b AS (SELECT doc_id, array_to_string(list_filter(string_split(translate(t, {_quoted([PUNCTUATION])}, ''), ' '), lambda w: w <> ''), ' ') AS t FROM a)
 SELECT doc_id, regexp_replace(t, '\d+(\.\d+)?', '<NUMBER>', 'g') AS text FROM b
 """
+
+_GROUPS = f"""
+{_FUSE}, run0 AS (SELECT CAST(qid AS VARCHAR) AS qid, doc_id AS docno, CAST(score AS REAL) AS sim FROM ({_RRF})),
+q0 AS (SELECT CAST(qid AS VARCHAR) AS qid, doc_id AS docno, coalesce(max(label), -1) AS rel, CAST(min(row_id) % 2 AS VARCHAR) AS jg FROM engine_ranks GROUP BY qid, doc_id),
+"""
+_JG_BASE = (
+    _GROUPS
+    + """
+qrels AS (SELECT qid || '|' || jg AS qid, docno, rel FROM q0),
+run AS (SELECT g.qid || '|' || g.jg AS qid, docno, sim FROM run0 r JOIN (SELECT DISTINCT qid, jg FROM q0) g ON g.qid = r.qid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, docno DESC) AS r0 FROM run),
+j AS (SELECT ranked.qid, ranked.docno, r0, CASE WHEN rel IS NULL THEN -1 WHEN rel < 0 THEN -2 ELSE rel END AS rel FROM ranked LEFT JOIN qrels ON qrels.qid = ranked.qid AND qrels.docno = ranked.docno),
+"""
+    + _STEPS.format(L=1, keep="TRUE")
+    + _IDEAL
+)
+_JG_LABELS = [(label.replace(m, f"{m}_avgjg", 1), v) for m in ("map", "P", "Rprec_mult") for label, v in _SQL[m]]
+ORACLES["eval_judgment_groups"] = (
+    f"WITH {_JG_BASE}, wide AS (SELECT qid, " + ", ".join(f'CAST({v} AS DOUBLE) AS "{label}"' for label, v in _JG_LABELS) + " FROM f GROUP BY qid) "
+    + " UNION ALL ".join(f"SELECT '{label}' AS measure, split_part(qid, '|', 1) AS qid, round(avg(\"{label}\"), 6) AS value FROM wide GROUP BY split_part(qid, '|', 1)" for label, _ in _JG_LABELS)
+)
+_RATIO = "CASE WHEN {b} > 0 THEN {a} * 1.0 / {b} ELSE 0 END"
+_PREFS = {
+    "prefs_num_prefs_poss": "sum(poss)", "prefs_num_prefs_ful": "sum(ful)", "prefs_num_prefs_ful_ret": "sum(ful_ret)",
+    "prefs_simp": _RATIO.format(a="sum(ful)", b="sum(poss)"), "prefs_simp_ret": _RATIO.format(a="sum(ful_ret)", b="sum(poss_ret)"), "prefs_simp_imp": _RATIO.format(a="sum(ful)", b="sum(poss_imp)"),
+    "prefs_avgjg": f"avg({_RATIO.format(a='ful', b='poss')})", "prefs_avgjg_ret": f"avg({_RATIO.format(a='ful_ret', b='poss_ret')})", "prefs_avgjg_imp": f"avg({_RATIO.format(a='ful', b='poss_imp')})",
+}
+_PAIRED = {
+    "prefs_pair": "sum(CASE WHEN one_ret THEN good ELSE 0 END) / count(*)", "prefs_pair_ret": "coalesce(sum(CASE WHEN two_ret THEN good END) / sum(CASE WHEN two_ret THEN 1 END), 0)",
+    "prefs_pair_imp": "coalesce(sum(CASE WHEN one_ret THEN good END) / sum(CASE WHEN one_ret THEN 1 END), 0)",
+}
+ORACLES["eval_preferences"] = (
+    f"""
+WITH {_GROUPS} place AS (SELECT qid, docno, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, docno) AS r FROM run0),
+pos AS (SELECT q0.qid, jg, q0.docno, rel, row_number() OVER (PARTITION BY q0.qid ORDER BY r NULLS LAST, q0.docno) AS p, r IS NOT NULL AS ret FROM q0 LEFT JOIN place ON place.qid = q0.qid AND place.docno = q0.docno),
+pairs AS (SELECT a.qid, a.jg, a.p AS pa, b.p AS pb, a.ret AND b.ret AS two_ret, a.ret OR b.ret AS one_ret FROM pos a JOIN pos b ON a.qid = b.qid AND a.jg = b.jg AND a.rel > b.rel),
+c AS (
+  SELECT qid, jg, count(*) AS poss, sum(CASE WHEN pa < pb AND one_ret THEN 1 ELSE 0 END) AS ful, sum(CASE WHEN two_ret THEN 1 ELSE 0 END) AS poss_ret,
+    sum(CASE WHEN two_ret AND pa < pb THEN 1 ELSE 0 END) AS ful_ret, sum(CASE WHEN one_ret THEN 1 ELSE 0 END) AS poss_imp FROM pairs GROUP BY qid, jg
+), g AS (SELECT k.qid, coalesce(poss, 0) AS poss, coalesce(ful, 0) AS ful, coalesce(poss_ret, 0) AS poss_ret, coalesce(ful_ret, 0) AS ful_ret, coalesce(poss_imp, 0) AS poss_imp
+  FROM (SELECT DISTINCT qid, jg FROM q0) k LEFT JOIN c ON c.qid = k.qid AND c.jg = k.jg),
+two AS (SELECT qid, least(pa, pb) AS p1, greatest(pa, pb) AS p2, two_ret, one_ret, avg(CASE WHEN pa < pb THEN 1.0 ELSE 0.0 END) AS good FROM pairs GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT qid, """
+    + ", ".join(f"CAST({v} AS DOUBLE) AS {m}" for m, v in _PREFS.items())
+    + " FROM g GROUP BY qid), w2 AS (SELECT qid, "
+    + ", ".join(f"CAST({v} AS DOUBLE) AS {m}" for m, v in _PAIRED.items())
+    + " FROM two GROUP BY qid) "
+    + " UNION ALL ".join(f"SELECT '{m}' AS measure, w.qid, round(coalesce({m}, 0), 6) AS value FROM w LEFT JOIN w2 USING (qid)" for m in [*_PREFS, *_PAIRED])
+)

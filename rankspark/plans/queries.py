@@ -297,12 +297,21 @@ def eval_judgment_groups(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("measure", "qid", F.round("value", 6).alias("value"))
 
 
+def _preferences(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """Preference measures, the labels taken as levels."""
+    p = _grouped(spark, sf).select("qid", "jg", F.lit("0").alias("jsg"), "docno", F.col("rel").cast("float").alias("level"))
+    out = evaluate.evaluate(_run(spark, sf), p, EvalConfig(measures=tuple(names), per_query=True, summary=False))
+    return out.select("measure", "qid", F.round("value", 6).alias("value"))
+
+
 @query
 def eval_preferences(spark: SparkSession, sf: str) -> DataFrame:
-    """All preference measures, the labels taken as levels."""
-    prefs = _grouped(spark, sf).select("qid", "jg", F.lit("0").alias("jsg"), "docno", F.col("rel").cast("float").alias("level"))
-    out = evaluate.evaluate(_run(spark, sf), prefs, EvalConfig(measures=("all_prefs",), per_query=True, summary=False))
-    return out.select("measure", "qid", F.round("value", 6).alias("value"))
+    return _preferences(spark, sf, [m for m in measures.NICKNAMES["all_prefs"][2:] if "Rnonrel" not in m])
+
+
+@query
+def eval_preferences_recounted(spark: SparkSession, sf: str) -> DataFrame:
+    return _preferences(spark, sf, [m for m in measures.NICKNAMES["all_prefs"] if "Rnonrel" in m])
 
 
 @query
