@@ -75,6 +75,8 @@ def condorcet(rows: DataFrame) -> DataFrame:
     are compared, as the definition asks; pairs are spread by the later document.
     """
     docs = rows.groupBy("qid", "doc_id").agg(F.min("seq").alias("seq"), F.min_by("ranks", "seq").alias("ranks"))
+    # The pairs are many times the documents, so the partitions mustn't be coalesced by the documents' size.
+    docs = docs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
     later = docs.select("qid", F.col("doc_id").alias("d2"), F.col("seq").alias("s2"), F.col("ranks").alias("r2"))
 
     def vote(a: Column, b: Column) -> Column:
