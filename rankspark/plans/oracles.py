@@ -38,7 +38,7 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rank FROM scored)
 """
 ORACLES["query_terms"] = f"WITH {_INDEX}, {_QUERY} SELECT qid, term, qtf FROM q"
-ORACLES["tfidf_top10"] = f"WITH {_INDEX}, {_QUERY} SELECT qid, doc_id, score, rank FROM ranked WHERE rank <= 10"
+ORACLES["tfidf_top10"] = f"WITH {_INDEX}, {_QUERY} SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"
 
 _LM = """
 res AS (SELECT qid, doc_id, rank FROM ranked WHERE rank <= 20),
@@ -113,7 +113,7 @@ votes AS (
   LEFT JOIN first c ON c.qid = y.qid AND c.doc_id = y.doc_id AND c.e = eng.e GROUP BY x.qid, x.doc_id, y.doc_id
 ),
 wins AS (SELECT qid, CASE WHEN v > 0 THEN d1 ELSE d2 END AS doc_id, count(*) AS wins FROM votes WHERE v <> 0 GROUP BY 1, 2)
-SELECT b.qid, b.doc_id, CAST(coalesce(wins, 0) AS DOUBLE) AS score, row_number() OVER (PARTITION BY b.qid ORDER BY coalesce(wins, 0) DESC, b.score DESC, b.seq) AS rank
+SELECT b.qid, b.doc_id, CAST(coalesce(wins, 0) AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY b.qid ORDER BY coalesce(wins, 0) DESC, b.score DESC, b.seq) AS INTEGER) AS rank
 FROM b LEFT JOIN wins ON b.qid = wins.qid AND b.doc_id = wins.doc_id
 """
 _SMOOTH = """SELECT e, slot, 1e-4 + sum(x) AS x FROM (
