@@ -70,12 +70,12 @@ def weighted_borda(rows: DataFrame, k: int = RRF_K) -> DataFrame:
 def condorcet(rows: DataFrame) -> DataFrame:
     """Documents by how many others of their query they win against, then by Borda count.
 
-    Of two documents the earlier one gets a vote from each engine that ranks it and the other not, or ranks it
-    strictly better; else the later one does, unless neither is ranked. Equal votes are no win. All pairs of a query
-    are compared, as the definition asks; pairs are spread by the later document.
+    Of two rows the earlier one gets a vote from each engine that ranks it and the other not, or ranks it strictly
+    better; else the later one does, unless neither is ranked. Equal votes are no win. All pairs of a query's rows are
+    compared, those of one document too, and a row's wins count for its document; seq is unique within a query.
     """
-    docs = rows.groupBy("qid", "doc_id").agg(F.min("seq").alias("seq"), F.min_by("ranks", "seq").alias("ranks"))
-    # The pairs are many times the documents, so the partitions mustn't be coalesced by the documents' size.
+    docs = rows.select("qid", "doc_id", "seq", "ranks")
+    # The pairs are many times the rows, so the partitions mustn't be coalesced by the rows' size.
     docs = docs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
     later = docs.select("qid", F.col("doc_id").alias("d2"), F.col("seq").alias("s2"), F.col("ranks").alias("r2"))
 

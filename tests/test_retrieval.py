@@ -113,6 +113,30 @@ def test_fusion(spark):
     assert {r.doc_id: r.score for r in fusion.bayes_fuse(f).collect()}["d"] == 0
 
 
+def _condorcet_by_rows(rows):
+    """Wins per document, every row of the query compared with every later one."""
+    wins = dict.fromkeys((r[3] for r in rows), 0)
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            v = 0
+            for e in {*a[2], *b[2]}:
+                x, y = a[2].get(e), b[2].get(e)
+                v += 0 if x is None and y is None else 1 if y is None else -1 if x is None else 1 if x < y else -1
+            if v:
+                wins[a[3] if v > 0 else b[3]] += 1
+    return wins
+
+
+def test_condorcet_compares_every_row_of_a_document(spark):
+    schema = "label int, qid int, ranks map<int,int>, doc_id string, seq long"
+    twice = [(0, 1, {1: 9}, "a", 0), (0, 1, {1: 5, 2: 5}, "b", 1), (0, 1, {1: 1, 2: 1, 3: 1}, "a", 2)]
+    # a's later row beats its own earlier one and b; b beats a's earlier row
+    assert {r.doc_id: (r.score, r.rank) for r in fusion.condorcet(spark.createDataFrame(twice, schema)).collect()} == {"a": (2, 1), "b": (1, 2)}
+    rnd = random.Random(3)
+    rows = [(0, 1, {e: rnd.choice([None, 1, 2, 3, 4]) for e in rnd.sample(range(5), 3)}, rnd.choice("abcdef"), i) for i in range(25)]
+    assert {r.doc_id: r.score for r in fusion.condorcet(spark.createDataFrame(rows, schema)).collect()} == _condorcet_by_rows(rows)
+
+
 def test_bpe(spark):
     merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "a")]
     ranks = {m: i for i, m in enumerate(merges)}
