@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankspark.functions import codec, text
 from rankspark.operators import bpe, evaluate, fusion, index, lm, measures, nested, packed, prefs as prefs_ops, search
@@ -144,18 +144,24 @@ def rm1_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return lm.rm1_rerank(*_results(spark, sf)).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """The embeddings table as a local embedding per label: words are the vectors' ids."""
-    e = table(spark, sf, "embeddings")
-    return lm.unit_vectors(e.select(F.col("label").alias("qid"), F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec")))
+def _word_queries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector whose id is divisible by 20 as a query of that id, with the vectors of its label as local embedding
+    (words are the vectors' ids): ``qid, word, vec`` and ``qid, term, n``. Ids divisible by 40 also ask for the label's
+    next id, twice."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
+    following = F.lead("word").over(Window.partitionBy("label").orderBy("vec_id"))
+    asked = e.withColumn("following", following).where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("qid"), "word", "following")
+    second = F.when(F.col("qid") % 40 == 0, F.col("following"))
+    words = F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("n")), F.struct(second.alias("term"), F.lit(2).alias("n")))
+    terms = asked.select("qid", F.inline(words)).where("term is not null")
+    vectors = lm.unit_vectors(e).join(asked.select("label", "qid"), "label").select("qid", "word", "vec")
+    return vectors, terms
 
 
 @query
 def expansion_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten nearest words to each label's least id, in its own embedding."""
-    v = _word_vectors(spark, sf)
-    q = v.groupBy("qid").agg(F.min(F.col("word").cast("long")).cast("string").alias("term")).withColumn("n", F.lit(1))
-    return lm.expansion_terms(v, q).select("qid", "word", F.round("sim", 6).alias("sim"), F.round("weight", 6).alias("weight"))
+    """Ten nearest words to every query of _word_queries(), in its own embedding."""
+    return lm.expansion_terms(*_word_queries(spark, sf)).select("qid", "word", F.round("sim", 6).alias("sim"), F.round("weight", 6).alias("weight"))
 
 
 @query

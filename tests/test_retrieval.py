@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions import codec, text
 from rankspark.operators import bpe, fusion, index, lm, search
+from rankspark.plans import queries
 from rankspark.sources import corpus, trec
 
 
@@ -92,6 +93,22 @@ def test_expansion(spark):
     assert trec.expansion_lines(lm.expansion_terms(e, q, 2)).first().value == "1: a b"
 
 
+def test_expansion_topk_asks_for_every_twentieth_vector(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], i // 3 % 2) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v, _ in rows}
+    label = {i: k for i, _, k in rows}
+    want = {}
+    for q in range(0, 100, 20):
+        own = [i for i in unit if label[i] == label[q]]
+        words = [q] + [min(i for i in own if i > q)] * 2 * (q % 40 == 0)
+        sim = {i: sum(sum(x * y for x, y in zip(unit[i], unit[w], strict=True)) for w in words) for i in own}
+        want |= {(q, str(i)): sim[i] for i in sorted(own, key=lambda i: -sim[i])[:10]}
+    got = {(r.qid, r.word): r.sim for r in queries.QUERIES["expansion_topk"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 ROWS = [(1, 1, {1: 1, 2: 2}, "a", 0), (0, 1, {1: 2, 2: None}, "b", 1), (2, 1, {1: 2, 2: 1}, "c", 2), (0, 1, {1: None, 2: None}, "d", 3)]
 
 
