@@ -133,4 +133,5 @@ def train_embedding(corpus: DataFrame, size: int = 100, window: int = 8, iterati
 
 def unit_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    return df.withColumn(vec, F.transform(vec, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0))))
+    # In the lambda alone the norm would be computed again for every number.
+    return df.withColumn(vec, F.zip_with(vec, F.array_repeat(norm, F.size(vec)), lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0))))

@@ -13,6 +13,8 @@ from rankspark.plans.stage import materialise
 from rankspark.sources import trec
 from rankspark.streaming import stats
 
+DEPTH = 100  # fixed value: length of the result lists that are re-ranked
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -124,7 +126,7 @@ def tfidf_top10(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(table(spark, sf, "documents"), _topics(spark, sf), 10, digits=6)
 
 
-def _results(spark: SparkSession, sf: str, k: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _results(spark: SparkSession, sf: str, k: int = DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A result list per topic, term counts of the collection, and the topics' title terms."""
     tf = materialise(_tf(spark, sf))
     df = materialise(index.document_frequencies(tf, _n_docs(spark, sf)))
@@ -164,15 +166,19 @@ def expansion_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lm.expansion_terms(*_word_queries(spark, sf)).select("qid", "word", F.round("sim", 6).alias("sim"), F.round("weight", 6).alias("weight"))
 
 
+def _count_vectors(held: DataFrame) -> DataFrame:
+    """``qid, word, vec``: counts of every term of ``qid, rank, term, tf`` by rank, as long as a result list."""
+    vec = F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
+    return held.groupBy("qid", F.col("term").alias("word")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "tf"))).alias("m")).select("qid", "word", vec.alias("vec"))
+
+
 @query
 def expansion_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Result lists re-ranked with expanded queries; the embedding's words are the terms of the results, its vectors
-    their counts over the list (a fixed stand-in for a trained embedding)."""
+    their counts over the whole list (a fixed stand-in for a trained embedding)."""
     results, tf, terms = _results(spark, sf)
-    held = results.select("qid", "doc_id", "rank").join(tf, "doc_id")
-    vec = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double"))
-    v = held.groupBy("qid", F.col("term").alias("word")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "tf"))).alias("m")).select("qid", "word", vec.alias("vec"))
-    return lm.expansion_rerank(results, tf, terms, lm.unit_vectors(v)).select("qid", "doc_id", F.round("score", 6).alias("score"))
+    v = _count_vectors(results.select("qid", "doc_id", "rank").join(tf, "doc_id"))
+    return lm.expansion_rerank(results, tf, terms, materialise(lm.unit_vectors(materialise(v)))).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query

@@ -109,6 +109,24 @@ def test_expansion_topk_asks_for_every_twentieth_vector(spark, tmp_path):
     assert got == pytest.approx(want, abs=1e-5)
 
 
+def test_reranking_covers_the_whole_list(spark, tmp_path):
+    n = 130
+    docs = [(i, "fish " * (i % 7 + 1) + f"word{i} " * (i % 3 + 1)) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "fish", "fish")], "query_number int, title string, description string").write.parquet(str(tmp_path / "topics.parquet"))
+    listed = {r.doc_id for r in search.search(_docs(spark, [t for _, t in docs]), spark.createDataFrame([(1, "fish", "fish")], "qid int, title string, description string"), 100, digits=6).collect()}
+    assert len(listed) == 100
+    # what a document's length and fish give, the background being that of all 100 listed ones
+    size, fish = {i: len(t.split()) for i, t in docs}, {i: i % 7 + 1 for i in range(n)}
+    b = sum(fish[i] for i in listed) / sum(size[i] for i in listed)
+    want = {i: math.log((fish[i] + 250 * b) / (size[i] + 250)) for i in listed}
+    assert {r.doc_id: r.score for r in queries.QUERIES["query_likelihood"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-6)
+    for name in ("rm1_rerank", "expansion_rerank"):
+        assert {r.doc_id for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} == listed
+    vec = queries._count_vectors(spark.createDataFrame([(1, 1, "a", 2), (1, 77, "a", 5)], "qid int, rank int, term string, tf long")).first().vec
+    assert len(vec) == 100 and vec[0] == 2 and vec[76] == 5 and sum(vec) == 7
+
+
 ROWS = [(1, 1, {1: 1, 2: 2}, "a", 0), (0, 1, {1: 2, 2: None}, "b", 1), (2, 1, {1: 2, 2: 1}, "c", 2), (0, 1, {1: None, 2: None}, "d", 3)]
 
 
