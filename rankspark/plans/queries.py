@@ -14,6 +14,7 @@ from rankspark.sources import trec
 from rankspark.streaming import stats
 
 DEPTH = 100  # fixed value: length of the result lists that are re-ranked
+BPE_MERGES = 40  # parameter: merges that bpe_train learns, one aggregation each
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -191,12 +192,17 @@ def length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.histogram(table(spark, sf, "documents"), "n_chars")
 
 
+@query
+def bpe_train(spark: SparkSession, sf: str) -> DataFrame:
+    """The first BPE_MERGES merges learnt from the texts of all documents."""
+    merges = bpe.train(table(spark, sf, "documents"), BPE_MERGES)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
+
+
 @query
 def bpe_encode(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens per document with merges learnt from the topics."""
-    merges = bpe.train(table(spark, sf, "topics"), 40, text="description")
-    m = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string")
-    words = bpe.encode_tokens(table(spark, sf, "documents").select("doc_id", "text"), m)
+    """Tokens per document with the merges of bpe_train()."""
+    words = bpe.encode_tokens(table(spark, sf, "documents").select("doc_id", "text"), bpe_train(spark, sf))
     return words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 

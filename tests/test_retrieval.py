@@ -186,6 +186,26 @@ def test_bpe(spark):
     assert "".join(sorted("".join(r.term for r in tokens.where("doc_id = 1").collect()))) == "".join(sorted("newestlowest"))
 
 
+def test_bpe_learns_from_the_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "BPE_MERGES", 6)
+    texts = ["été étage étang", "straße strasse stein stein", "niña año", None, "baaaab aaa"]
+    _docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "x", "zzz zzz zzz")], "query_number int, title string, description string").write.parquet(str(tmp_path / "topics.parquet"))
+    want: list[tuple[str, str]] = []
+    for _ in range(6):
+        ranks, pairs = {m: i for i, m in enumerate(want)}, {}
+        for w in " ".join(t for t in texts if t).split():
+            parts = bpe.encode_word(w, ranks)
+            for pair in zip(parts, parts[1:], strict=False):
+                pairs[pair] = pairs.get(pair, 0) + 1
+        want.append(min(pairs, key=lambda p: (-pairs[p], p)))
+    learnt = queries.QUERIES["bpe_train"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r.left, r.right) for r in learnt] == want
+    ranks = {m: i for i, m in enumerate(want)}
+    tokens = {i: sum(len(bpe.encode_word(w, ranks)) for w in t.split()) for i, t in enumerate(texts) if t}
+    assert {r.doc_id: r.tokens for r in queries.QUERIES["bpe_encode"](spark, str(tmp_path)).collect()} == tokens
+
+
 def test_read_merges(spark, tmp_path):
     (tmp_path / "m").write_bytes(b"t h\n\xc3 \xa9\nth e\n")
     rows = bpe.read_merges(spark, str(tmp_path / "m")).orderBy("rank").collect()
