@@ -7,9 +7,11 @@ exploded with positions. Everything is JVM-side; there is no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankspark.functions.text import WS, trim_ws
+from rankspark.functions.text import trim_ws
 
 # What separates values (with any control character), and what may surround a value.
 DELIMITERS = ";,|"
@@ -17,20 +19,29 @@ OPEN, CLOSE = "[({<", "])}>"
 MAX_STAND_INS = 10_000
 
 _CTRL = r"\p{Cc}"
-_BEFORE = rf"(?:^|[;,|{_CTRL}])(?:{WS}|[\[({{<])*"
-_AFTER = rf"(?=(?:{WS}|[\])}}>])*(?:$|[;,|{_CTRL}]))"
+_BLANK = r"\p{Z}\x{feff}"  # white space that is no control character and so no delimiter
+_OPENS, _ENDS = rf"{_BLANK}\[({{<", rf";,|{_CTRL}"
+# Every repetition is of one character class or possessive, and none is begun again within its own run, so matching
+# takes linear time and no stack that grows with the text.
+_BEFORE = rf"(?:^|(?<![{_OPENS}{_ENDS}])[{_OPENS}]*+[{_ENDS}])[{_OPENS}{_ENDS}]*+"
+_AFTER = rf"(?=[{_BLANK}\])}}>]*+(?:$|[{_ENDS}]))"
 # A quote mark counts only around a whole value; inside, the mark is doubled, or the other kind of mark is used.
-_QUOTED = rf"({_BEFORE})(\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'){_AFTER}"
+_QUOTED = rf"({_BEFORE})(\"[^\"]*+(?:\"\"[^\"]*+)*+\"|'[^']*+(?:''[^']*+)*+'){_AFTER}"
 _HOLD = "\x01"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used, also in the lambdas of ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _strip_brackets(c: Column) -> Column:
     """Drop brackets that surround a value or were cut from their partner, but none that belongs to a pair inside."""
     for _ in range(2):
         for o, x in zip(OPEN, CLOSE, strict=True):
             inner = f"[^\\{o}\\{x}]"
-            c = F.regexp_replace(c, f"^\\{o}((?:{inner}|\\{o}{inner}*\\{x})*)\\{x}$", "$1")
-            c = F.regexp_replace(c, f"^\\{o}+({inner}*)$|^({inner}*)\\{x}+$", "$1$2")
+            c = F.regexp_replace(c, f"^\\{o}((?:{inner}++|\\{o}{inner}*+\\{x})*+)\\{x}$", "$1")
+            c = F.regexp_replace(c, f"^\\{o}++({inner}*+)$|^({inner}*+)\\{x}++$", "$1$2")
         c = trim_ws(c)
     return c
 
@@ -41,36 +52,39 @@ def split_packed(c: Column, stand_ins: list[str] | None = None) -> Column:
     Delimiters are semicolon, comma, bar and control characters, never a blank alone, and nothing inside quotes.
     Surrounding white space, quotes and brackets are not part of a value. Empty entries and entries equal to one of
     ``stand_ins`` (trimmed, any case) are dropped. Null gives an empty array; an unclosed quote is ordinary text.
+    Fields and values of any length take time in proportion to it.
     """
-    text = F.coalesce(c, F.lit(""))
-    spans = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(2))
-    # The context a span was matched with goes before its placeholder; control characters of the remaining text
-    # become delimiters first, so that the mark of a placeholder cannot occur in it.
-    before = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
-    rest = F.split(text, _QUOTED)
     plain = lambda x: F.regexp_replace(x, _CTRL, ";")
-    held = F.transform(
-        F.sequence(F.lit(0), F.size(rest) - 1),
-        lambda i: F.concat(
-            plain(F.get(rest, i)),
-            F.when(i < F.size(spans), F.concat(plain(F.get(before, i)), F.lit(_HOLD), i.cast("string"), F.lit(_HOLD))).otherwise(F.lit("")),
-        ),
-    )
-    joined = F.when(F.size(spans) > 0, F.array_join(held, "")).otherwise(plain(text))
-    mark = f"{_HOLD}(\\d+){_HOLD}"
 
-    def restore(e: Column) -> Column:
-        span = F.get(spans, F.regexp_extract(e, mark, 1).try_cast("int"))
-        quote = F.substring(span, 1, 1)
-        body = F.substring(span, F.lit(2), F.length(span) - 2)
+    def split(t: Column) -> Column:
+        # The context a span was matched with goes before its placeholder; control characters of the remaining text
+        # become delimiters first, so that the mark of a placeholder cannot occur in it.
+        parts = F.struct(
+            F.regexp_extract_all(t, F.lit(_QUOTED), F.lit(2)).alias("spans"), F.regexp_extract_all(t, F.lit(_QUOTED), F.lit(1)).alias("before"), F.split(t, _QUOTED).alias("rest"),
+        )
+        return F.when(t.rlike(_QUOTED), _let(parts, _held)).otherwise(F.transform(F.split(plain(t), f"[{DELIMITERS}]"), _bare))
+
+    def _held(p: Column) -> Column:
+        held = F.transform(
+            p["rest"],
+            lambda r, i: F.concat(plain(r), F.when(i < F.size(p["spans"]), F.concat(plain(F.get(p["before"], i)), F.lit(_HOLD), i.cast("string"), F.lit(_HOLD))).otherwise(F.lit(""))),
+        )
+        return F.transform(F.split(F.array_join(held, ""), f"[{DELIMITERS}]"), lambda e: restore(e, p["spans"]))
+
+    def _bare(e: Column) -> Column:
         bare = trim_ws(e)
         bare = F.when(bare.rlike(r"^[\[({<]|[\])}>]$"), _strip_brackets(bare)).otherwise(bare)
-        return F.when(e.rlike(mark), trim_ws(F.replace(body, F.concat(quote, quote), quote))).otherwise(
-            trim_ws(F.regexp_replace(bare, r"^[\"']+|[\"']+$", ""))
-        )
+        return trim_ws(F.regexp_replace(bare, r"^[\"']++|(?<![\"'])[\"']++$", ""))
+
+    def restore(e: Column, spans: Column) -> Column:
+        def span(s: Column) -> Column:
+            quote = F.substring(s, 1, 1)
+            return trim_ws(F.replace(F.substring(s, F.lit(2), F.length(s) - 2), F.concat(quote, quote), quote))
+
+        at = F.regexp_extract(e, f"{_HOLD}(\\d+){_HOLD}", 1).try_cast("int")
+        return F.when(at.isNotNull(), _let(F.get(spans, at), span)).otherwise(_bare(e))
 
-    values = F.transform(F.split(joined, f"[{DELIMITERS}]"), restore)
-    values = F.filter(values, lambda v: v != "")
+    values = F.filter(_let(F.coalesce(c, F.lit("")), split), lambda v: v != "")
     if stand_ins:
         drop = F.array(*[F.lit(s) for s in stand_ins])
         values = F.filter(values, lambda v: ~F.array_contains(drop, F.lower(v)))
