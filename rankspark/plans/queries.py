@@ -30,28 +30,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of all paragraphs and spans of articles."""
-    return nested.shred_articles(table(spark, sf, "articles")).where("kind != 'article'").select("article_id", "para_no", "span_no")
+    """Keys of all paragraphs and spans of articles: what the automaton's states accept and route to their tables."""
+    return nested.shred_articles(table(spark, sf, "articles"), keys_only=True).select("article_id", "para_no", "span_no")
 
 
-@query
-def p3_articles(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.article_tables(table(spark, sf, "articles"))["articles"]
-
-
-@query
-def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.article_tables(table(spark, sf, "articles"))["paragraphs"]
-
+def _article_table(name: str, about: str) -> None:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        return nested.article_tables(table(spark, sf, "articles"))[name]
 
-@query
-def p3_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.article_tables(table(spark, sf, "articles"))["spans"]
+    f.__name__, f.__doc__ = f"p3_{name}", about
+    query(f)
 
 
-@query
-def p3_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.article_tables(table(spark, sf, "articles"))["shapes"]
+_article_table("articles", "One row per readable payload.")
+_article_table("paragraphs", "Every paragraph with its parent and its own fields.")
+_article_table("spans", "Every span with its paragraph and its own fields.")
+_article_table("shapes", "How often every state of the automaton occurs.")
+_article_table("subtypes", "The subtypes the shapes are merged to, with their fields.")
+_article_table("unreadable", "Payloads that give no rows, with the reason.")
 
 
 @query
