@@ -9,15 +9,26 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) a temporary folder is taken."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``. Only where that is unset and the master is
+    local (tests, a single machine) a temporary folder is taken; on a cluster a missing folder is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rankspark_ckpt_"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder; what is written there is deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and go on from there: the result is computed once, has fixed
     partitions, and can be read again after an executor is lost."""
@@ -31,20 +42,20 @@ def small_or_none(df: DataFrame, limit: int) -> list | None:
     return None if len(rows) > limit else rows
 
 
-def maybe_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Hint a broadcast only if the table was counted to hold at most ``limit`` rows; the join works either way."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = 100_000, size: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only if the table was measured to hold at most ``limit`` rows and about ``size`` bytes; the join
+    works either way. Measuring runs the plan, so give it what is cheap or materialised."""
+    row = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(row)).first()
+    return F.broadcast(df) if n <= limit and (held or 0) <= size else df
 
 
 def written(df: DataFrame) -> DataFrame:
     """As materialise(), but as a compressed Parquet table in the checkpoint folder: columns in order of size and
-    likeness take far less disk than checkpointed rows. The files live as long as the application's checkpoint folder."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    likeness take far less disk than checkpointed rows. The table is deleted when the application ends."""
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def maybe_in(df: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 26) -> DataFrame:
