@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rankspark.functions.text import is_blank, name_key
 from rankspark.llm.pack import TOKENIZER, token_counts
-from rankspark.llm.topn import exact_positions
+from rankspark.operators.positions import exact_positions
 from rankspark.plans.stage import materialise, maybe_broadcast
 
 

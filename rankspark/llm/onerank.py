@@ -4,10 +4,10 @@ Method: ideal-point ranking. The ranks of each engine are winsorised, divided by
 document is placed by its weighted distances to the ideal and to the anti-ideal point; the relative closeness to the
 ideal gives the ranking. No engine can weigh more because its scale is longer.
 
-The majority winner of a query is found along that ranking: walking from its top, a champion stays until it meets a
-document it isn't ahead of in most engines. Whoever is ahead of every other document must come out of the walk, so one
-exact check per query of a single document against the rest decides. The walk is a tree of bounded chunks, so a query
-of any size is never gathered in one task.
+The majority winner of a query is found with that ranking. Its top document is the pivot: whoever wins is the pivot
+itself or ahead of it, so only those stay: few, if the ranking is good. What is left (all of it, where documents beat
+each other in circles) is walked through in the order of the ranking in bounded chunks, which leaves one document per
+query, and an exact check of that one against all others decides.
 """
 
 from __future__ import annotations
@@ -16,13 +16,19 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankspark.plans.stage import materialise
+from rankspark.operators.positions import largest_group
+from rankspark.plans.stage import materialise, maybe_broadcast
 
 CHUNK = 256
-SPLITS = 8  # tasks that one document's rows, or one query's documents, are dealt to
+TASK_ROWS = 50_000  # rows of one query that one task is to work on
 
 
-def best_ranks(rows: DataFrame, qid: str = "qid", doc: str = "doc_id", ranks: str = "ranks", splits: int = SPLITS) -> DataFrame:
+def splits_of(rows: DataFrame, qid: str = "qid") -> int:
+    """Into how many tasks one query's rows, and one document's rows, are dealt: by the rows of the largest query."""
+    return max(1, -(-largest_group(rows.select(qid), [qid]) // TASK_ROWS))
+
+
+def best_ranks(rows: DataFrame, splits: int, qid: str = "qid", doc: str = "doc_id", ranks: str = "ranks") -> DataFrame:
     """``qid, bucket, doc_id, ranks map<int,int>``: a document's smallest valid rank per engine. A rank that is null or
     below 1 is none; a document without any has an empty map. Rows without qid or document are dropped.
 
@@ -38,9 +44,12 @@ def best_ranks(rows: DataFrame, qid: str = "qid", doc: str = "doc_id", ranks: st
         per = long.groupBy(*by, F.col("e.key").alias("key")).agg(F.min("e.value").alias("value"))
         return per.groupBy(*by).agg(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))).alias("es"))
 
+    done = F.map_from_entries(F.sort_array("es")).alias("ranks")
+    if splits == 1:
+        return merged(rows.repartition("qid", "doc_id"), ["qid", "doc_id"]).select("qid", F.lit(0).alias("bucket"), "doc_id", done)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("es"), F.lit(splits))).repartition("qid", "doc_id", "_salt")
     once = merged(salted, ["qid", "doc_id", "_salt"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(splits)))
-    return merged(once.repartition("qid", "bucket"), ["qid", "bucket", "doc_id"]).select("qid", "bucket", "doc_id", F.map_from_entries(F.sort_array("es")).alias("ranks"))
+    return merged(once.repartition("qid", "bucket"), ["qid", "bucket", "doc_id"]).select("qid", "bucket", "doc_id", done)
 
 
 def query_stats(docs: DataFrame, rows: DataFrame, tail: float = 0.05, qid: str = "qid", ranks: str = "ranks") -> DataFrame:
@@ -50,7 +59,7 @@ def query_stats(docs: DataFrame, rows: DataFrame, tail: float = 0.05, qid: str =
     cut = long.groupBy("qid", "engine").agg(F.percentile_approx("rank", [tail, 1 - tail], 1000).alias("q"))
     cuts = cut.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("engine", "q"))).alias("cuts"))
     # The clip bounds come to the documents as one map per query, so that only sums are shuffled afterwards.
-    held = docs.join(cuts, "qid").select("qid", F.explode("ranks").alias("engine", "rank"), "cuts").withColumn("q", F.col("cuts")[F.col("engine")])
+    held = docs.join(maybe_broadcast(materialise(cuts)), "qid").select("qid", F.explode("ranks").alias("engine", "rank"), "cuts").withColumn("q", F.col("cuts")[F.col("engine")])
     clipped = F.least(F.greatest(F.col("rank"), F.col("q")[0]), F.col("q")[1]).cast("double")
     sums = held.groupBy("qid", "engine").agg(F.sum(clipped * clipped).alias("sq"), F.count(F.lit(1)).alias("n"), F.first("q").alias("q"))
     sizes = docs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -81,10 +90,11 @@ def _distance(ranks: Column, stats: Column, to: str) -> Column:
 def closeness(rows: DataFrame, tail: float = 0.05) -> DataFrame:
     """``qid, doc_id, ranks, closeness, n_docs, n_engines``; closeness in [0, 1], 1 at the ideal point. Where all
     documents are alike (or no engine ranked any) it is 0.5. Ties are left to the caller's order (by doc_id)."""
-    docs = materialise(best_ranks(rows))
-    stats = query_stats(docs, rows, tail)
-    # One row of stats per query: where one query has very many documents, the document side is split (adaptive skew join).
-    j = docs.join(stats, "qid")
+    docs = materialise(best_ranks(rows, splits_of(rows)))
+    stats = materialise(query_stats(docs, rows, tail))
+    # One row of stats per query: it goes to the documents if it is small; else, where one query has very many documents,
+    # the document side is split (adaptive skew join).
+    j = docs.join(maybe_broadcast(stats), "qid")
     plus, minus = _distance(F.col("ranks"), F.col("stats"), "lo"), _distance(F.col("ranks"), F.col("stats"), "anti")
     j = j.withColumns({"_p": plus, "_m": minus})
     c = F.when(F.coalesce(F.col("_p") + F.col("_m"), F.lit(0.0)) > 0, F.col("_m") / (F.col("_p") + F.col("_m"))).otherwise(0.5)
@@ -101,21 +111,41 @@ def _champion(docs: Column) -> Column:
     return F.aggregate(docs, F.get(docs, F.lit(0)), lambda c, d: F.when(ahead(c["ranks"], d["ranks"]) * 2 > d["n_engines"], c).when(c["doc_id"] == d["doc_id"], c).otherwise(d))
 
 
-def majority_winners(ranked: DataFrame) -> DataFrame:
-    """``qid, doc_id``: the document, if there is one, that is ahead of every other of its query in more than half of
-    the query's engines. ``ranked`` is the result of closeness(). Queries with one document give none."""
-    ranked = materialise(ranked)
-    size = ranked.agg(F.max("n_docs")).first()[0] or 0
-    level = ranked.withColumn("_left", F.col("n_docs"))
+def _beats(ranks: str, other: str) -> Column:
+    return ahead(F.col(ranks), F.col(other)) * 2 > F.col("n_engines")
+
+
+def narrowed(ranked: DataFrame) -> DataFrame:
+    """What can win: each query's first document by closeness (the pivot; ties by doc_id) and all that are ahead of it."""
+    pivot = ranked.groupBy("qid").agg(F.max_by(F.struct("doc_id", "ranks"), F.struct("closeness", "doc_id")).alias("_p"))
+    pivot = maybe_broadcast(materialise(pivot.select("qid", F.col("_p.doc_id").alias("_pivot"), F.col("_p.ranks").alias("_ranks"))))
+    j = ranked.join(pivot, "qid").where((F.col("doc_id") == F.col("_pivot")) | _beats("ranks", "_ranks"))
+    return j.select("qid", "doc_id", "ranks", "closeness", "n_engines")
+
+
+def _walk(left: DataFrame) -> DataFrame:
+    """One document per query that beats those it met on a walk along the ranking, in a tree of bounded chunks."""
+    size = largest_group(left, ["qid"])
+    level = left.withColumn("_left", F.lit(size))
+    if size > CHUNK:
+        level = left.join(left.groupBy("qid").agg(F.count(F.lit(1)).alias("_left")), "qid")
     for k in range(max(1, math.ceil(math.log(max(size, 2), CHUNK / 4)))):
         # Chunks by hash, a quarter full on average, so that none is larger than about CHUNK.
         chunks = F.greatest(F.ceil(F.col("_left") / (CHUNK / 4)), F.lit(1)).cast("bigint")
         chunks = F.when(F.col("_left") <= CHUNK, F.lit(1)).otherwise(chunks)
         level = level.withColumn("_chunks", chunks).withColumn("_chunk", F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col("_chunks")))
-        doc = F.struct((-F.col("closeness")).alias("key"), "doc_id", F.map_entries("ranks").alias("entries"), "n_engines", "n_docs")
+        doc = F.struct((-F.col("closeness")).alias("key"), "doc_id", F.map_entries("ranks").alias("entries"), "n_engines")
         packs = level.groupBy("qid", "_chunk", "_chunks").agg(F.sort_array(F.collect_list(doc)).alias("docs"))
-        docs = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.map_from_entries(d["entries"]).alias("ranks"), d["n_engines"].alias("n_engines"), d["n_docs"].alias("n_docs"), (-d["key"]).alias("closeness")))
+        docs = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.map_from_entries(d["entries"]).alias("ranks"), d["n_engines"].alias("n_engines"), (-d["key"]).alias("closeness")))
         level = packs.withColumn("docs", docs).withColumn("c", _champion(F.col("docs"))).select("qid", "c.*", F.col("_chunks").alias("_left"))
-    one = level.where("n_docs > 1").select("qid", F.col("doc_id").alias("_best"), F.col("ranks").alias("_ranks"))
-    beaten = F.col("_best").eqNullSafe(F.col("doc_id")) | (ahead(F.col("_ranks"), F.col("ranks")) * 2 > F.col("n_engines"))
+    return level
+
+
+def majority_winners(ranked: DataFrame, narrow: bool = True) -> DataFrame:
+    """``qid, doc_id``: the document, if there is one, that is ahead of every other of its query in more than half of
+    the query's engines. ``ranked`` is the result of closeness(). Queries with one document give none."""
+    ranked = materialise(ranked.where("n_docs > 1"))
+    left = materialise(narrowed(ranked)) if narrow else ranked.select("qid", "doc_id", "ranks", "closeness", "n_engines")
+    one = maybe_broadcast(materialise(_walk(left).select("qid", F.col("doc_id").alias("_best"), F.col("ranks").alias("_ranks"))))
+    beaten = F.col("_best").eqNullSafe(F.col("doc_id")) | _beats("_ranks", "ranks")
     return ranked.join(one, "qid").groupBy("qid", "_best").agg(F.min(beaten).alias("_all")).where("_all").select("qid", F.col("_best").alias("doc_id"))

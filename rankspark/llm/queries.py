@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankspark.llm import distinctive, fuse, mix, onerank, pack, spans, termstats, topn
 from rankspark.operators.packed import stand_in_list
+from rankspark.operators.positions import exact_positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,9 +36,8 @@ def p1_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored terms used at least 4 times in a record and standing in 2 to 6 records."""
-    scored = distinctive.distinctive_terms(table(spark, sf, "docstore"))
-    return scored.where("score is not null and tf >= 4 and records between 2 and 6").select("docid", "term")
+    """Terms found by their score and confirmed: used at least 4 times in a record, standing in 2 to 6 records."""
+    return distinctive.rare_and_repeated(table(spark, sf, "docstore")).select("docid", "term")
 
 
 @query
@@ -68,7 +68,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """One ranking per query; equal closeness is ordered by doc_id."""
     c = onerank.closeness(table(spark, sf, "engine_ranks")).select("qid", "doc_id", F.round("closeness", 9).alias("closeness"))
-    return topn.exact_positions(c, ["qid"], [F.col("closeness").desc(), F.col("doc_id").asc()], pos="position")
+    return exact_positions(c, ["qid"], [F.col("closeness").desc(), F.col("doc_id").asc()], pos="position")
 
 
 def _fused(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:

@@ -7,63 +7,9 @@ are prefix-summed per group, which turns places within a partition into exact po
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-
-from rankspark.plans.stage import materialise
-
-
-def _local_positions(keys: list[str], bound: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        last, seen = None, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            new = np.zeros(len(pdf), bool)
-            for k in keys:
-                a = pdf[k].to_numpy(object)
-                new[1:] |= a[1:] != a[:-1]
-            first = tuple(pdf[k].iloc[0] for k in keys)
-            new[0] = True
-            at = np.arange(len(pdf))
-            start = np.maximum.accumulate(np.where(new, at, 0))
-            pos = at - start + 1
-            if first == last:
-                pos[start == 0] += seen
-            last, seen = tuple(pdf[k].iloc[-1] for k in keys), int(pos[-1])
-            keep = pos <= pdf[bound].to_numpy()
-            out = pdf[keep].copy()
-            out["_pid"], out["_lpos"] = np.int32(pid), pos[keep].astype("int64")
-            yield out
-
-    return run
-
-
-def exact_positions(df: DataFrame, keys: list[str], order: list[Column], n: int | Column | None = None, pos: str = "pos") -> DataFrame:
-    """``df`` with its exact position (bigint, from 1) within the group of ``keys``, under ``order``.
-
-    ``order`` must be total, else rows equal under it come in any order. Null keys form one group. With ``n`` (a
-    number, or a column that is constant within a group) only positions up to it are kept; rows beyond it are let go
-    in the partition that sorts them. Nothing is collected; what is broadcast is at most one row per partition.
-    """
-    marks = [f"_k{i}" for i in range(len(keys))]
-    bound = F.lit(2**62) if n is None else F.lit(n) if isinstance(n, int) else n
-    marked = df.withColumns({m: F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for m, k in zip(marks, keys, strict=True)} | {"_n": F.coalesce(bound.cast("bigint"), F.lit(0))})
-    by = [F.col(m).asc() for m in marks] + order
-    ranged = marked.repartitionByRange(*by).sortWithinPartitions(*by)
-    schema = T.StructType([*marked.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_lpos", T.LongType())])
-    local = materialise(ranged.mapInPandas(_local_positions(marks, "_n"), schema))
-    before = Window.partitionBy(*marks).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = local.groupBy(*marks, "_pid").agg(F.max("_lpos").alias("_c"))
-    # A group has rows before a partition only if it crosses the partition's lower border: at most one per partition.
-    offsets = counts.withColumn("_off", F.sum("_c").over(before)).where("_off > 0").drop("_c")
-    placed = local.join(F.broadcast(offsets), [*marks, "_pid"], "left").withColumn(pos, F.col("_lpos") + F.coalesce("_off", F.lit(0)))
-    return placed.where(F.col(pos) <= F.col("_n")).drop(*marks, "_n", "_pid", "_lpos", "_off")
+from rankspark.operators.positions import exact_positions
 
 
 def best_scores(runs: DataFrame, group: list[str], item: str, score: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.llm import onerank, topn
+from rankspark.operators.positions import exact_positions
 
 RUNS = "run_id string, query_number int, docno string, rank int, score double, pos string"
 
@@ -32,9 +33,9 @@ def test_top_n_against_brute_force(spark):
 def test_exact_positions_across_partitions(spark):
     """One group over all partitions; positions must be exact and reach across them."""
     df = spark.range(5000).select(F.lit("g").alias("k"), F.col("id").alias("v")).unionByName(spark.range(3).select(F.lit("h").alias("k"), F.col("id").alias("v"))).repartition(9)
-    got = topn.exact_positions(df, ["k"], [F.desc("v")])
+    got = exact_positions(df, ["k"], [F.desc("v")])
     assert got.where("k = 'g' and pos != 5000 - v").count() == 0 and got.count() == 5003
-    some = topn.exact_positions(df, ["k"], [F.desc("v")], F.when(F.col("k") == "g", 1500).otherwise(2))
+    some = exact_positions(df, ["k"], [F.desc("v")], F.when(F.col("k") == "g", 1500).otherwise(2))
     assert some.groupBy("k").count().orderBy("k").collect() == [("g", 1500), ("h", 2)]
 
 
@@ -65,8 +66,36 @@ def test_majority_winner_against_brute_force(spark, size):
             rows.append((q, "d1", dict.fromkeys(range(1, 7), 1)))
     rows += [(99, "only", {1: 1}), (98, "a", None), (98, "b", {}), (None, "x", {1: 1}), (97, None, {1: 1})]
     df = spark.createDataFrame(rows, "qid int, doc_id string, ranks map<int,int>")
-    got = {(r.qid, r.doc_id) for r in onerank.majority_winners(onerank.closeness(df)).collect()}
-    assert got == _winners(rows) and got
+    ranked = onerank.closeness(df)
+    for narrow in (True, False):  # by the ranking's first document, and by the walk alone
+        got = {(r.qid, r.doc_id) for r in onerank.majority_winners(ranked, narrow).collect()}
+        assert got == _winners(rows) and got
+
+
+def test_hot_queries_are_dealt_to_more_tasks(spark, monkeypatch):
+    rnd = random.Random(7)
+    df = spark.createDataFrame([(rnd.choice([1, 1, 1, 2]), f"d{rnd.randint(0, 9)}", {e: rnd.randint(0, 9) for e in range(3)}) for _ in range(400)], "qid int, doc_id string, ranks map<int,int>")
+    assert onerank.splits_of(df) == 1
+    whole = {(r.qid, r.doc_id): r.ranks for r in onerank.best_ranks(df, 1).collect()}
+    monkeypatch.setattr(onerank, "TASK_ROWS", 50)
+    assert onerank.splits_of(df) > 4
+    assert {(r.qid, r.doc_id): r.ranks for r in onerank.best_ranks(df, onerank.splits_of(df)).collect()} == whole
+
+
+def test_circles_leave_no_winner_and_a_winner_low_in_the_ranking_is_found(spark):
+    rows = [(1, "a", {1: 1, 2: 2, 3: 3}), (1, "b", {1: 2, 2: 3, 3: 1}), (1, "c", {1: 3, 2: 1, 3: 2})]  # each is beaten by one
+    rows += [(2, f"d{i}", {1: i, 2: i, 3: 500 - i}) for i in range(1, 400)] + [(2, "w", {1: 0 + 1, 2: 1, 3: 9000})]
+    rows[3] = (2, "d1", {1: 2, 2: 2, 3: 499})
+    df = spark.createDataFrame(rows, "qid int, doc_id string, ranks map<int,int>")
+    assert [tuple(r) for r in onerank.majority_winners(onerank.closeness(df)).collect()] == [(2, "w")] and _winners(rows) == {(2, "w")}
+
+
+def test_the_ranking_leads_to_the_winner(spark):
+    """One step along the ranking leaves few candidates; along the reversed ranking nearly all."""
+    rnd = random.Random(4)
+    rows = [(1, f"d{i}", {e: rnd.randint(1, 10) * 10**e + i * 10**e for e in range(1, 6)}) for i in range(300)]
+    ranked = onerank.closeness(spark.createDataFrame(rows, "qid int, doc_id string, ranks map<int,int>"))
+    assert onerank.narrowed(ranked).count() <= 30 < 250 < onerank.narrowed(ranked.withColumn("closeness", -F.col("closeness"))).count()
 
 
 def test_closeness_is_not_dominated_by_long_scales(spark):

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from rankspark.llm import distinctive, termstats
@@ -78,3 +79,26 @@ def test_two_poisson_fit_recovers_a_mixture():
     assert p[0] == pytest.approx(0.2, abs=0.02) and high[0] == pytest.approx(6, abs=0.3) and low[0] == pytest.approx(0.3, abs=0.05)
     alone = distinctive.fit_two_poisson(tf, n, np.array([0]), 20000)
     assert alone[0][0] == p[0]  # a fit doesn't depend on its neighbours
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=5), st.integers(4, 300), st.sampled_from([2, 6, 10, 30, 60, 635, 63500, 10**9]))
+@settings(max_examples=400, deadline=None)
+def test_no_rare_and_repeated_term_is_below_the_least_score(rest, most, n_records):
+    counts = [most, *[min(x, most) for x in rest]]
+    if len(counts) > n_records:
+        return
+    tf, n = np.unique(counts, return_counts=True)
+    best = distinctive.best_scores(np.array([most]), *distinctive.fit_two_poisson(tf, n, np.array([0]), n_records))
+    assert best[0] >= distinctive.least_score(n_records, 4, 6) - 1e-9
+
+
+def test_rare_and_repeated_terms_come_from_the_scores(docs, monkeypatch):
+    rows, df = docs
+    recs = {r[0]: r for r in rows if r[0] is not None}
+    tf = {(k, t): n for k, r in recs.items() for t, n in collections.Counter(TOKEN.findall(_lower(r[2]))).items()}
+    dfs = collections.Counter(t for _, t in tf)
+    want = {k for k, n in tf.items() if n >= 2 and 2 <= dfs[k[1]] <= 20}
+    got = lambda: {(r.docid, r.term) for r in distinctive.rare_and_repeated(df, 2, 2, 20).collect()}
+    assert got() == want and want
+    monkeypatch.setattr(distinctive, "least_score", lambda *a: 1e6)
+    assert got() == set()
