@@ -14,6 +14,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # White space of any kind, for Java regular expressions.
 WS = r"[\s\x{85}\p{Z}\x1c-\x1f\x{feff}]"
+# The same characters one by one.
+WS_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def char_class(chars: str) -> str:
@@ -42,8 +44,8 @@ def term_tokens(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    """Trim white space of any kind at both ends, in linear time (no run of it is begun twice)."""
-    return F.regexp_replace(c, f"^{WS}++|(?<!{WS}){WS}++$", "")
+    """Trim white space of any kind at both ends."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

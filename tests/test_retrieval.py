@@ -22,6 +22,8 @@ def test_text_functions(spark):
     assert df.select(text.preprocess(t, stop_words=False, punctuation=False, digits=True)).first()[0].endswith("sars-cov-<NUMBER> at <NUMBER>! the,")
     assert df.select(text.preprocess(F.lit(None).cast("string"))).first()[0] == ""
     assert df.select(text.name_key(F.lit(" Citation_ Garden-\t"))).first()[0] == "citationgarden"
+    every = spark.createDataFrame([(chr(i),) for i in [*range(0x3100), 0xFEFF, 0xFFFF]], "c string")
+    assert every.where((text.trim_ws(F.col("c")) == "") != F.col("c").rlike(f"^{text.WS}$")).count() == 0
     assert len(text.STOP_WORDS) == len(set(text.STOP_WORDS)) == 179
 
 
