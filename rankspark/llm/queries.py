@@ -143,6 +143,12 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return spans.SharedSpans(table(spark, sf, "documents")).pairs()
 
 
+@query
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The links of p10_found as classes of linked documents, which grow with the documents and not with their pairs."""
+    return spans.SharedSpans(table(spark, sf, "documents")).classes()
+
+
 @query
 def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
     """The stretches of each document that stand in another too."""

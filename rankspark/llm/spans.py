@@ -1,13 +1,18 @@
 """Long exact spans shared between records.
 
 Method: compaction of a de Bruijn graph whose tokens are characters. An edge is a k-mer of as many characters as a
-shared span must have at least; two edges meet in a node where one goes on from the other by a character. Only edges
-that can repeat are built: every stretch of k characters holds a sampled fingerprint (the least hash of its shorter
+shared span must have at least, from the node of its first k - 1 characters to that of its last k - 1. Only edges that
+can repeat are built: every stretch of k characters holds a sampled fingerprint (the least hash of its shorter
 windows), which any record with the same stretch samples too, so edges are built around fingerprints that stand in
-several records, and nowhere else. Repeated edges carry the set of records they occur in (their colour). A path of
-edges that follow each other in their first source with one colour is compacted to its first edge: going on along it
-neither adds nor loses a record. The first edges are joined with their source coordinates, the spans are read there
-and compared as text, and records that have one in common are linked.
+several records, and nowhere else. Repeated edges carry the set of records they occur in (their colour). A node with
+one repeated edge in and one out doesn't branch; a path through such nodes is compacted, as far as its colour stays, to
+its first edge, by joining the edges with the nodes they start from: going on along it neither adds nor loses a record.
+The first edges are joined with their source coordinates, the spans are read there and compared as text, and records
+that have one in common are linked.
+
+Edges, nodes and colours are known by their hashes. Edges that agree in both hashes by chance are told apart by their
+text; nodes that do branch, which only means more first edges. A colour is the xor of 64-bit hashes of its records: two
+edges in a row of different colours that agree in it and in their number of records (2^-64 for each) would lose one.
 
 Exact copies of a text are one class with one representative from the start.
 """
@@ -53,15 +58,32 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def rolling(codes: np.ndarray, width: int, base: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``width`` codes; equal windows have equal hashes wherever they stand."""
+def polynomials(codes: np.ndarray, width: int, base: int) -> np.ndarray:
+    """The sum of mixed code x base^place over every window of ``width`` codes, modulo 2^64."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     up, down = _power(base, len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_mix(codes + np.uint64(base >> 32)) * up[: len(codes)], out=total[1:])
-    return _mix((total[width:] - total[:n]) * down[:n])
+    np.cumsum(_mixed_codes(codes, base) * up[: len(codes)], out=total[1:])
+    return (total[width:] - total[:n]) * down[:n]
+
+
+def _mixed_codes(codes: np.ndarray, base: int) -> np.ndarray:
+    return _mix(codes + np.uint64(base >> 32))
+
+
+def rolling(codes: np.ndarray, width: int, base: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``width`` codes; equal windows have equal hashes wherever they stand."""
+    return _mix(polynomials(codes, width, base))
+
+
+def node_hashes(edge: np.ndarray, first: np.ndarray, last: np.ndarray, span: int = SPAN, base: int = BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the nodes that edges go from and to, out of the edges' polynomials and their first and last characters."""
+    up, down = _power(base, span)
+    start = edge - _mixed_codes(last.astype(np.uint64), base) * up[span - 1]
+    end = (edge - _mixed_codes(first.astype(np.uint64), base)) * down[1]
+    return _mix(start), _mix(end)
 
 
 def _sliding(x: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
@@ -98,17 +120,17 @@ def fingerprints(codes: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple
 
 
 def edges_near(codes: np.ndarray, marks: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and double hashes of all windows of ``span`` characters that hold a gram at one of ``marks``."""
+    """Starts, polynomials and second hashes of all windows of ``span`` characters that hold a gram at one of ``marks``."""
     n = len(codes) - span + 1
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, np.maximum(marks - (span - gram), 0), 1)
     np.add.at(cover, np.minimum(marks, n - 1) + 1, -1)
     starts = np.flatnonzero(np.cumsum(cover[:n]) > 0)
     out = []
-    for base in BASES:
+    for base, of in zip(BASES, (polynomials, rolling), strict=True):
         h = np.empty(n, np.uint64)
         for at in range(0, n, CHUNK):
-            h[at : at + CHUNK] = rolling(codes[at : at + CHUNK + span - 1], span, base)
+            h[at : at + CHUNK] = of(codes[at : at + CHUNK + span - 1], span, base)
         out.append(h[starts])
     return starts, out[0], out[1]
 
@@ -128,7 +150,9 @@ def _fingerprint_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
 def _edge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for d, t, marks in zip(pdf["doc"], pdf["text"], pdf["marks"], strict=True):
-            starts, a, b = edges_near(_codes(t), np.asarray(marks, np.int64))
+            codes = _codes(t)
+            starts, a, b = edges_near(codes, np.asarray(marks, np.int64))
+            c0, c1 = codes[starts].astype(np.int32), codes[starts + SPAN - 1].astype(np.int32)
             order = np.lexsort((starts, b, a))
             new = np.ones(len(order), bool)
             new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -136,7 +160,13 @@ def _edge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first[order] = new
             for i in range(0, len(starts), 100_000):
                 s = slice(i, i + 100_000)
-                yield pd.DataFrame({"k1": a[s].view(np.int64), "k2": b[s].view(np.int64), "doc": np.int64(d), "pos": starts[s].astype(np.int32), "first": first[s]})
+                yield pd.DataFrame({"k1": a[s].view(np.int64), "k2": b[s].view(np.int64), "doc": np.int64(d), "pos": starts[s].astype(np.int32), "first": first[s], "c0": c0[s], "c1": c1[s]})
+
+
+def _node_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        start, end = node_hashes(pdf["k1"].to_numpy().view(np.uint64), pdf["c0"].to_numpy(), pdf["c1"].to_numpy())
+        yield pdf.drop(columns=["c0", "c1"]).assign(start=start.view(np.int64), end=end.view(np.int64))
 
 
 class SharedSpans:
@@ -159,27 +189,45 @@ class SharedSpans:
         near = written(marks.join(repeated, "fp", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("marks")))
         # Most texts hold no repeated fingerprint; they stay out of the shuffles.
         self.texts = maybe_in(self.texts, "doc", near.select("doc"))
-        self.edges = written(self.texts.join(near, "doc").mapInPandas(_edge_batches, "k1 bigint, k2 bigint, doc bigint, pos int, first boolean"))
-        self.groups = materialise(
+        self.edges = written(self.texts.join(near, "doc").mapInPandas(_edge_batches, "k1 bigint, k2 bigint, doc bigint, pos int, first boolean, c0 int, c1 int"))
+        repeated = (
             self.edges.groupBy("k1", "k2")
-            .agg(F.sum(F.col("first").cast("int")).alias("n"), F.expr("bit_xor(if(first, xxhash64(doc), 0L))").alias("colour"), F.min(F.struct("doc", "pos")).alias("src"))
-            .where("n > 1")
+            .agg(F.sum(F.col("first").cast("int")).alias("n"), F.expr("bit_xor(if(first, xxhash64(doc), 0L))").alias("colour"), F.min(F.struct("doc", "pos")).alias("src"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+            .where("n > 1").select("k1", "k2", F.col("n").cast("int").alias("n"), "colour", F.col("src.doc").alias("doc"), F.col("src.pos").alias("pos"), "c0", "c1")
         )
+        self.groups = written(repeated.mapInPandas(_node_batches, "k1 bigint, k2 bigint, n int, colour bigint, doc bigint, pos int, start bigint, end bigint"))
+
+    def nodes(self) -> DataFrame:
+        """``node, ins, outs`` and of the edge into it (the only one, where ins is 1) ``colour, n, doc, pos``."""
+        into = self.groups.select(F.col("end").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"), F.struct("colour", "n", "doc", "pos").alias("e"))
+        out = self.groups.select(F.col("start").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"), F.lit(None).cast(into.schema["e"].dataType).alias("e"))
+        g = into.unionByName(out).groupBy("node").agg(F.sum("i").alias("ins"), F.sum("o").alias("outs"), F.max("e").alias("e"))
+        return g.select("node", "ins", "outs", *[F.col(f"e.{c}").alias(f"_{c}") for c in ("colour", "n", "doc", "pos")])
 
     def heads(self) -> DataFrame:
-        """First edges of the compacted paths: ``k1, k2, n``. An edge is left out if the edge before it in its first
-        source has the same colour; following those leads to ever smaller positions, so each path has a first edge."""
-        along = Window.partitionBy("src.doc").orderBy("src.pos")
-        before = F.lag(F.struct(F.col("src.pos").alias("pos"), "colour", "n")).over(along)
-        g = self.groups.withColumn("_b", before)
-        same = (F.col("_b.pos") == F.col("src.pos") - 1) & (F.col("_b.colour") == F.col("colour")) & (F.col("_b.n") == F.col("n"))
-        return g.where(~F.coalesce(same, F.lit(False))).select("k1", "k2", "n")
+        """First edges of the compacted paths: ``k1, k2, n``. An edge goes on a path, and is left out, if the node it starts
+        from doesn't branch and the edge into that node has the same colour and stands just before it in the first
+        record of both; following those leads to ever smaller positions, so each path, also a circular one, has a first edge."""
+        plain = self.nodes().where("ins = 1 and outs = 1").withColumnRenamed("node", "start")
+        same = (F.col("_colour") == F.col("colour")) & (F.col("_n") == F.col("n")) & (F.col("_doc") == F.col("doc")) & (F.col("_pos") == F.col("pos") - 1)
+        return self.groups.drop("end").join(plain, "start", "left").where(~F.coalesce(same, F.lit(False))).select("k1", "k2", "n")
 
     def verified(self) -> DataFrame:
         """``span, doc, n``: records by the text of a compacted path's first edge, read at its source coordinates."""
         at = self.edges.where("first").join(self.heads(), ["k1", "k2"]).select("doc", "pos", "n")
         return self.texts.join(at, "doc").select(F.expr(f"substring(text, pos + 1, {SPAN})").alias("span"), "doc", "n")
 
+    def classes(self) -> DataFrame:
+        """The links without their pairs: ``class_id, kind, doc_id, members``, a row per record and class it belongs to.
+        All records of a class are linked with each other (each has members - 1 links in it). Of kind 'span' the class
+        is the text of a compacted path's first edge, and its members stand for their exact copies; of kind 'copy' it is
+        a text that stands in several records, and all of them are members."""
+        spans = self.verified().select(F.sha2("span", 256).alias("class_id"), F.lit("span").alias("kind"), F.col("doc").alias("doc_id")).distinct()
+        members = F.count(F.lit(1)).alias("members")
+        spans = spans.join(spans.groupBy("class_id").agg(members).where("members > 1"), "class_id")
+        copies = self.copies.select(F.sha2(F.col("rep").cast("string"), 256).alias("class_id"), F.lit("copy").alias("kind"), F.col("doc").alias("doc_id"), F.col("n").alias("members"))
+        return spans.unionByName(copies)
+
     def pairs(self) -> DataFrame:
         """``doc_id_a, doc_id_b`` with a < b: all pairs of records that share a span, each once. Large groups are
         joined in blocks."""

@@ -1,3 +1,4 @@
+import collections
 import itertools
 import os
 import random
@@ -6,6 +7,7 @@ import string
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from rankspark.llm import mix, pack, spans
 
@@ -27,6 +29,32 @@ def test_best_fit_decreasing_and_bound(sizes):
     assert bound <= len(load) <= max(bound, 1) * 11 / 9 + 1 or not len(s)
 
 
+@given(st.lists(st.integers(1, 64), max_size=200))
+@settings(max_examples=60, deadline=None)
+def test_best_subsets(sizes):
+    s = np.sort(np.array(sizes, np.int64))[::-1]
+    bins = pack.best_subsets(s, 64)
+    assert (np.bincount(bins, weights=s) <= 64).all() and sorted(set(bins.tolist())) == list(range(len(set(bins.tolist()))))
+
+
+# Sizes that best fit lays into 32 containers of 100, one more than there must be.
+TIGHT = "59 59 58 57 57 57 56 55 54 53 53 53 53 52 51 51 51 49 49 47 47 47 47 46 45 45 45 45 45 44 44 44 43 43 42 42 41 40 40 39 39 39 38 38 38 38 37 36 36 35 34 34 33 32 32 32 32 31 31 28 28 28 27 27 26 26 22 22 21 20 19 18 18 18 16 16 16 15 15 15 15 15"
+
+
+def test_a_full_container_is_found_where_best_fit_misses_it():
+    s = np.array(TIGHT.split(), np.int64)
+    bound = pack.lower_bound(np.bincount(s, minlength=101), 100)
+    assert pack.best_subsets(s, 100).max() + 1 == bound < pack.best_fit_decreasing(s, 100).max() + 1
+
+
+@needs_vocabulary
+def test_a_partition_with_a_gap_is_packed_again_at_any_size(spark):
+    df = spark.createDataFrame([(i, " ".join(["word"] * int(n))) for i, n in enumerate(TIGHT.split())], "doc_id long, text string")
+    packed = pack.pack_texts(df, 100)
+    rep = pack.container_report(packed, 100).first()
+    assert rep.containers == rep.lower_bound == 31 and packed.where("round > 1").count() > 0
+
+
 def test_lower_bound_sees_large_items():
     assert pack.lower_bound(np.bincount([40] * 5, minlength=65), 64) == 5
     assert pack.lower_bound(np.bincount([40, 24, 32, 32], minlength=65), 64) == 2
@@ -50,6 +78,8 @@ def test_pack_texts(spark):
     assert all(load[r.round, r.part, r.bin] == r.load for r in rows)
     rep = pack.container_report(p, 100).first()
     assert rep.containers == len(load) >= rep.lower_bound and rep.containers <= 1.1 * rep.lower_bound + 6
+    same = spark.createDataFrame([(7, "word " * 20, "s", "clash")] * 500, DOCS)
+    assert pack.pack_texts(same, 100, part_items=60).groupBy("round", "part").count().agg(F.max("count")).first()[0] < 120
     assert pack.pack_texts(df.limit(0)).count() == 0
 
 
@@ -126,6 +156,12 @@ def test_shared_spans_against_brute_force(spark):
     got = [(r.doc_id_a, r.doc_id_b) for r in s.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
     assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == cover
+    linked = collections.defaultdict(list)
+    for r in s.classes().collect():
+        linked[r.kind, r.class_id].append(r.doc_id)
+    reps = {i for k, ids in linked.items() if k[0] == "copy" for i in ids if i != min(ids)}
+    within = {p for ids in linked.values() for p in itertools.combinations(sorted(ids), 2)}
+    assert within <= want and {p for p in want if not reps & set(p)} <= within
 
 
 def test_a_span_in_a_third_of_all_records(spark):
@@ -153,6 +189,27 @@ def test_fingerprints_of_a_stretch_do_not_depend_on_its_place(t, shift):
     assert fa & set(spans.fingerprints(b)[1].tolist())
 
 
+def test_nodes_of_edges():
+    rnd = random.Random(2)
+    codes = spans._codes("".join(rnd.choices("abä ", k=400)))
+    edge = spans.polynomials(codes, spans.SPAN, spans.BASES[0])
+    start, end = spans.node_hashes(edge, codes[: len(edge)], codes[spans.SPAN - 1 :])
+    nodes = spans.rolling(codes, spans.SPAN - 1, spans.BASES[0])
+    assert (start == nodes[:-1]).all() and (end == nodes[1:]).all()
+
+
+def test_paths_end_where_nodes_branch_or_colours_change(spark):
+    rnd = random.Random(3)
+    fresh = lambda n: "".join(rnd.choices(string.ascii_lowercase, k=n))
+    x, y, z = fresh(300), fresh(200), fresh(200)
+    texts = [x + y, x + y, x + z, x + z, x[:250]]  # copies would be one class
+    df = spark.createDataFrame([(i, f"{i}{t}{i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    s = spans.SharedSpans(df)
+    degrees = [(r.ins, r.outs) for r in s.nodes().collect()]
+    assert sorted(d for d in degrees if d != (1, 1)) == [(0, 1), (1, 0), (1, 0), (1, 2)]
+    assert s.heads().count() == 4  # x in five, x's end in four, and the two branches
+
+
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     rnd = random.Random(1)
     codes = spans._codes("".join(rnd.choices("abcd ", k=3000)))
