@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankspark.functions.text import index_tokens
-from rankspark.plans.stage import materialise
+from rankspark.plans.stage import written
 
 MAX_MERGES = 1_000_000
 
@@ -31,10 +32,10 @@ def write_merges(spark: SparkSession, merges: list[tuple[str, str]], path: str)
         out.close()
 
 
-def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Tokens of a word as Latin-1 text of its UTF-8 bytes. The merges apply in the order of their ranks, each once: a
-    pair that only arises after its turn stays."""
-    parts, done = list(word.encode("utf-8").decode("latin-1")), -1
+def merge_parts(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The parts of a word after the merges, which apply in the order of their ranks, each once: a pair that only arises
+    after its turn stays."""
+    done = -1
     while len(parts) > 1:
         best = min((k for k in (ranks.get(p) for p in zip(parts, parts[1:], strict=False)) if k is not None and k > done), default=None)
         if best is None:
@@ -52,6 +53,11 @@ def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
+def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Tokens of a word as Latin-1 text of its UTF-8 bytes, after the merges."""
+    return merge_parts(list(word.encode("utf-8").decode("latin-1")), ranks)
+
+
 def encode_words(words: DataFrame, merges: DataFrame) -> DataFrame:
     """``word, tokens array<string>`` of distinct words. The merge list is a model of checked size and goes to every task."""
     rows = merges.select("rank", "left", "right").limit(MAX_MERGES + 1).collect()
@@ -75,39 +81,70 @@ def encode_tokens(docs: DataFrame, merges: DataFrame) -> DataFrame:
     return counted.join(enc, "word").select("doc_id", F.explode(repeated).alias("term"))
 
 
-def _merge_step(left: Column, right: Column):
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(F.concat(F.array(F.lit("")), a["out"]), -1)
-        hit = (last == left) & (x == right) & ~a["fresh"]
-        cut = F.slice(a["out"], F.lit(1), F.greatest(F.size(a["out"]) - 1, F.lit(0)))
-        return F.struct(F.when(hit, F.concat(cut, F.array(F.concat(last, x)))).otherwise(F.concat(a["out"], F.array(x))).alias("out"), hit.alias("fresh"))
-
-    return step
+def next_merges(top: list[tuple[str, str, int]], complete: bool, made: set[str]) -> list[tuple[str, str]]:
+    """The first pairs of ``top`` (by count descending, then left, right) that one-at-a-time training would take too.
+
+    Merging (a, b) changes the counts of pairs with a or b only, and makes pairs that are at most as frequent as a pair
+    with a or b was. So pairs follow each other as long as none shares a part with one before it and their counts are
+    above that of the first pair that does (``complete``: or of all that ``top`` doesn't show). What merges equal parts,
+    or makes a token that was ``made`` before, ends the batch, as it changes counts beyond that.
+    """
+    taken: list[tuple[str, str, int]] = []
+    used: set[str] = set()
+    bar = None if complete or not top else top[-1][2]
+    for left, right, n in top:
+        if left in used or right in used:
+            bar = n
+            break
+        taken.append((left, right, n))
+        used |= {left, right, left + right}
+        if left == right or left + right in made:
+            break
+    return [(a, b) for i, (a, b, n) in enumerate(taken) if i == 0 or bar is None or n > bar]
 
 
-def train(docs: DataFrame, iterations: int, initial: list[tuple[str, str]] | None = None, text: str = "text") -> list[tuple[str, str]]:
+def train(docs: DataFrame, iterations: int, initial: list[tuple[str, str]] | None = None, text: str = "text", batch: int = 1000) -> list[tuple[str, str]]:
     """Merges learnt from the words of ``text``: each time the pair of greatest count over all words is merged, ties
-    by left, then right. Counting runs in Spark on the distinct words; only the best pair comes to the driver. Words
-    reduced to one token are let go."""
+    by left, then right. Counting runs in Spark on the distinct words, with sums per task before the shuffle; the
+    ``batch`` most frequent pairs come to the driver, and as many of them are merged at once as one-at-a-time training
+    would take in a row. Words reduced to one token are let go."""
     words = docs.select(F.explode(index_tokens(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     merges = list(initial or [])
-    ranks = {p: i for i, p in enumerate(merges)}
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"parts": [encode_word(w, ranks) for w in pdf["word"]], "n": pdf["n"]})
-
-    state = materialise(words.mapInPandas(split, "parts array<string>, n bigint").where("size(parts) > 1"))
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(F.element_at("parts", i).alias("l"), F.element_at("parts", i + 1).alias("r"))))
-    for k in range(iterations):
-        best = state.select(pair.alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "r").first()
-        if best is None:
+    made = {a + b for a, b in merges}
+
+    def merged(ranks: dict[tuple[str, str], int], column: str, start):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                parts = [merge_parts(start(w), ranks) for w in pdf[column]]
+                yield pd.DataFrame({"parts": parts, "n": pdf["n"]})[[len(p) > 1 for p in parts]]
+
+        return run
+
+    def pairs(ranks: dict[tuple[str, str], int]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts: Counter[tuple[str, str]] = Counter()
+            for pdf in batches:
+                for p, n in zip(pdf["parts"], pdf["n"].tolist(), strict=True):
+                    parts = merge_parts(list(p), ranks) if ranks else list(p)
+                    for pair in zip(parts, parts[1:], strict=False):
+                        counts[pair] += n
+            yield pd.DataFrame({"l": [a for a, _ in counts], "r": [b for _, b in counts], "n": list(counts.values())}, columns=["l", "r", "n"])
+
+        return run
+
+    kind = "parts array<string>, n bigint"
+    state = written(words.mapInPandas(merged({p: i for i, p in enumerate(merges)}, "word", lambda w: list(w.encode("utf-8").decode("latin-1"))), kind))
+    goal, stored, passes = len(merges) + iterations, len(merges), 0
+    while len(merges) < goal:
+        ranks = {p: i for i, p in enumerate(merges[stored:])}
+        top = state.mapInPandas(pairs(ranks), "l string, r string, n bigint").groupBy("l", "r").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "r").limit(batch).collect()
+        new = next_merges([(r.l, r.r, r.n) for r in top], len(top) < batch, made)[: goal - len(merges)]
+        if not new:
             break
-        merges.append((best.l, best.r))
-        # The accumulator holds the parts so far; a part that completes the pair is joined to the last one, which is
-        # marked so that it isn't taken again in the same pass.
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("fresh"))
-        state = state.withColumn("parts", F.aggregate("parts", start, _merge_step(F.lit(best.l), F.lit(best.r)))["out"]).where("size(parts) > 1")
-        if k % 10 == 9:
-            state = materialise(state)
+        merges += new
+        made |= {a + b for a, b in new}
+        passes += 1
+        if passes % 8 == 0:
+            state = written(state.mapInPandas(merged({p: i for i, p in enumerate(merges[stored:])}, "parts", list), kind))
+            stored = len(merges)
     return merges

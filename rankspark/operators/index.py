@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from rankspark.functions import codec
 from rankspark.functions.text import index_tokens
 from rankspark.operators.bpe import encode_tokens
 from rankspark.plans.stage import maybe_broadcast, numbered
 
 
+BLOCK = 1 << 16  # documents a packed posting list is cut after
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log2(F.lit(1.0) + n_docs / df)
 
@@ -41,11 +45,43 @@ def document_norms(tf: DataFrame, df: DataFrame) -> DataFrame:
     return tf.join(df, "term").groupBy("doc_id").agg(F.sqrt(F.sum((F.col("idf") * F.col("tf")) * (F.col("idf") * F.col("tf")))).alias("norm"))
 
 
-def packed_postings(tf: DataFrame, doc_idx: DataFrame) -> DataFrame:
-    """``term, df, postings array<struct<doc_idx, tf>>`` with ascending documents, for export; a row is as long as the
-    term's document frequency. Searches use the long form."""
-    j = tf.join(doc_idx, "doc_id")
-    return j.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
+def packed_postings(tf: DataFrame, doc_idx: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``term, block, n, before, postings array<struct<doc_idx, tf>>``: posting lists with ascending documents, cut where doc_idx passes a multiple
+    of ``block``, so that no row is longer than that; ``before`` is the last document of the term's earlier blocks (0 at
+    the start). Searches use the long form."""
+    j = tf.join(doc_idx, "doc_id").withColumn("block", F.floor(F.col("doc_idx") / block).cast("bigint"))
+    p = j.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
+    before = F.lag(F.element_at("postings", -1)["doc_idx"], 1, 0).over(Window.partitionBy("term").orderBy("block"))
+    return p.select("term", "block", "n", before.alias("before"), "postings")
+
+
+def block_gaps(packed: DataFrame) -> DataFrame:
+    """``term, block, n, gaps, tfs`` of packed_postings(): what each document is after the one before it in the term's list."""
+    ids = F.col("postings.doc_idx")
+    first = F.array(F.get(ids, F.lit(0)) - F.col("before"))
+    return packed.select("term", "block", "n", F.concat(first, F.slice(codec.gaps(ids), 2, F.size(ids))).alias("gaps"), F.col("postings.tf").alias("tfs"))
+
+
+def encoded_postings(packed: DataFrame, compressed: bool = True) -> DataFrame:
+    """``term, block, n, bytes``: the blocks of packed_postings() as bytes, document and count by turns: 4 bytes each, or
+    gaps and counts in variable-byte form. The blocks of a term one after another are the term's list."""
+    numbers = block_gaps(packed) if compressed else packed.select("term", "block", "n", F.col("postings.doc_idx").alias("gaps"), F.col("postings.tf").alias("tfs"))
+    turns = F.flatten(F.zip_with("gaps", "tfs", lambda i, n: F.array(i, n)))
+    return numbers.select("term", "block", "n", (codec.vbyte_encode if compressed else codec.fixed_encode)(turns).alias("bytes"))
+
+
+def decoded_postings(encoded: DataFrame, compressed: bool = True) -> DataFrame:
+    """``term, doc_idx, tf`` out of encoded_postings(). A compressed block needs the last document of the blocks before
+    it, which is the sum of their gaps."""
+    numbers = encoded.select("term", "block", "n", (codec.vbyte_decode if compressed else codec.fixed_decode)("bytes").alias("x"))
+    places = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    d = numbers.select("term", "block", F.transform(places, lambda i: F.get("x", 2 * i)).alias("ids"), F.transform(places, lambda i: F.get("x", 2 * i + 1)).alias("tfs"))
+    if compressed:
+        d = d.withColumn("ids", codec.ungaps("ids"))
+        w = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.element_at("ids", -1)).over(w), F.lit(0))
+        d = d.withColumn("before", before).withColumn("ids", F.transform("ids", lambda i: i + F.col("before")))
+    return d.select("term", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("term", F.col("p.ids").alias("doc_idx"), F.col("p.tfs").alias("tf"))
 
 
 def numbered_documents(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -54,23 +90,43 @@ def numbered_documents(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return numbered(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "doc_idx")
 
 
-def write_index(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", partitions: int | None = None) -> None:
+def write_index(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", partitions: int | None = None, merges: DataFrame | None = None, encoded: str | None = None) -> None:
     """Tables ``postings`` (range-partitioned and sorted by term, so that a term's rows are found by the file
-    statistics), ``dictionary``, ``norms`` and ``config`` under ``path``."""
+    statistics), ``dictionary``, ``norms`` and ``config`` under ``path``; with ``merges`` of byte-pair tokens, which are
+    stored too. ``encoded`` ('fixed' or 'vbyte') adds the lists as bytes with the documents' numbers."""
     spark = docs.sparkSession
     tf_path = f"{path}/postings"
-    tf = term_frequencies(docs, doc_id, text)
+    if merges is not None:
+        merges.select("rank", "left", "right").write.mode("overwrite").parquet(f"{path}/merges")
+        merges = spark.read.parquet(f"{path}/merges")
+    tf = term_frequencies(docs, doc_id, text, merges)
     by = (partitions, "term") if partitions else ("term",)
     tf.repartitionByRange(*by).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(tf_path)
     tf = spark.read.parquet(tf_path)
     n = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().count()
     document_frequencies(tf, n).sort("term").write.mode("overwrite").parquet(f"{path}/dictionary")
     document_norms(tf, spark.read.parquet(f"{path}/dictionary")).write.mode("overwrite").parquet(f"{path}/norms")
-    spark.createDataFrame([(n, "index_tokens")], "n_docs bigint, tokenizer string").write.mode("overwrite").parquet(f"{path}/config")
+    if encoded:
+        numbered_documents(docs, doc_id).write.mode("overwrite").parquet(f"{path}/documents")
+        packed = packed_postings(tf, spark.read.parquet(f"{path}/documents"))
+        encoded_postings(packed, encoded == "vbyte").repartitionByRange(*by).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/lists")
+    config = [(n, "index_tokens" if merges is None else "byte_pairs", encoded)]
+    spark.createDataFrame(config, "n_docs bigint, tokenizer string, lists string").write.mode("overwrite").parquet(f"{path}/config")
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "dictionary", "norms", "config")}
+    """The tables of write_index(); ``merges`` if it has any, and of encoded lists ``lists`` and ``documents``."""
+    config = spark.read.parquet(f"{path}/config")
+    kind = config.first()
+    more = (["merges"] if kind.tokenizer == "byte_pairs" else []) + (["lists", "documents"] if kind.lists else [])
+    return {"config": config} | {t: spark.read.parquet(f"{path}/{t}") for t in ("postings", "dictionary", "norms", *more)}
+
+
+def read_lists(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """``doc_id, term, tf`` of the given terms out of the encoded lists of an index."""
+    t = read_index(spark, path)
+    lists = t["lists"].join(maybe_broadcast(terms.select("term").distinct()), "term")
+    return decoded_postings(lists, t["config"].first().lists == "vbyte").join(t["documents"], "doc_idx").select("doc_id", "term", "tf")
 
 
 def postings_of(postings: DataFrame, terms: DataFrame) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankspark.functions.text import index_tokens
+from rankspark.operators.bpe import encode_tokens
 from rankspark.operators.index import document_frequencies, document_norms, read_index, term_frequencies, tf_weight
 from rankspark.plans.stage import materialise, maybe_broadcast
 
 COMMON_SHARE, COMMON_FROM = 0.25, 10_000  # fixed values: terms of more than a quarter of a large collection are left out
 
 
-def query_terms(queries: DataFrame, dictionary: DataFrame, least: int = 10) -> DataFrame:
+def query_terms(queries: DataFrame, dictionary: DataFrame, least: int = 10, merges: DataFrame | None = None) -> DataFrame:
     """``qid, term, qtf`` of queries ``qid, title, description``: every title token, and of the description's tokens
     the rarer half (at least ``least``): those in the dictionary by document frequency ascending, then unknown ones by
-    length; ties by term and place."""
-    title = queries.select("qid", F.explode(index_tokens(F.col("title"))).alias("term"))
-    desc = queries.select("qid", F.posexplode(index_tokens(F.col("description"))).alias("pos", "term"))
+    length; ties by term and place. With ``merges`` tokens are byte-pair tokens, as in an index made with them."""
+    if merges is None:
+        title = queries.select("qid", F.explode(index_tokens(F.col("title"))).alias("term"))
+        desc = queries.select("qid", F.posexplode(index_tokens(F.col("description"))).alias("pos", "term"))
+    else:
+        part = lambda c: encode_tokens(queries.select(F.col("qid").alias("doc_id"), F.col(c).alias("text")), merges).select(F.col("doc_id").alias("qid"), "term")
+        title, desc = part("title"), part("description").withColumn("pos", F.lit(0))  # equal tokens need no order
     known = desc.join(dictionary.select("term", "df"), "term", "left")
     oov = F.col("df").isNull().cast("int")
     w = Window.partitionBy("qid").orderBy(oov, F.coalesce("df", F.length("term")), "term", "pos")
@@ -42,15 +47,17 @@ def top_k(scores: DataFrame, k: int = 100, digits: int | None = None) -> DataFra
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 100, doc_id: str = "doc_id", text: str = "text", digits: int | None = None, merges: DataFrame | None = None) -> DataFrame:
-    """Index ``docs`` and answer ``queries`` (qid, title, description)."""
+    """Index ``docs`` and answer ``queries`` (qid, title, description); with ``merges`` both in byte-pair tokens."""
     tf = materialise(term_frequencies(docs, doc_id, text, merges))
     n = docs.select(doc_id).where(F.col(doc_id).isNotNull()).distinct().count()
     df = materialise(document_frequencies(tf, n))
-    return top_k(tfidf_scores(tf, df, document_norms(tf, df), query_terms(queries, df), n), k, digits)
+    # The dictionary goes to the counts if it is small; else they meet by term, the hottest terms split (adaptive skew join).
+    return top_k(tfidf_scores(tf, df, document_norms(tf, maybe_broadcast(df)), query_terms(queries, df, merges=merges), n), k, digits)
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 100, digits: int | None = None) -> DataFrame:
-    """Answer ``queries`` from the tables of write_index(); only the postings of the queries' terms are used."""
+    """Answer ``queries`` from the tables of write_index(), tokenised as the index was; only the postings of the queries'
+    terms are used."""
     t = read_index(spark, path)
-    n = t["config"].first().n_docs
-    return top_k(tfidf_scores(t["postings"], t["dictionary"], t["norms"], query_terms(queries, t["dictionary"]), n), k, digits)
+    terms = query_terms(queries, t["dictionary"], merges=t.get("merges"))
+    return top_k(tfidf_scores(t["postings"], t["dictionary"], t["norms"], terms, t["config"].first().n_docs), k, digits)
