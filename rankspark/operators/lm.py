@@ -7,13 +7,25 @@ words has a closed form per document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankspark.functions.text import preprocess, rerank_tokens
 from rankspark.plans.stage import materialise
 
 MU, UNK, UNK_PERCENT, TOP_TERMS, LAMBDA = 250, "<UNK>", 0.5, 10, 0.5  # fixed values
 
 
+def text_terms(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, term, n``: counts of the re-ranking models' own terms, which are preprocessed first (stop words and
+    punctuation go) and then split by the re-ranking tokenizer."""
+    words = texts.select(F.col(key), F.explode(rerank_tokens(preprocess(F.col(text)))).alias("term"))
+    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def query_models(results: DataFrame, tf: DataFrame, mu: float = MU, unk_percent: float = UNK_PERCENT) -> dict[str, DataFrame]:
     """``docs`` (qid, doc_id, rank, len, a), ``terms`` (qid, doc_id, term, tf) and ``background`` (qid, term, b).
 
@@ -46,6 +58,7 @@ def _query_log_likelihood(m: dict[str, DataFrame], query: DataFrame, mu: float)
 
 
 def _rerank(scores: DataFrame) -> DataFrame:
+    """Result lists are of limited depth, so a query's is sorted in one window."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("old_rank"), F.asc("doc_id"))
     return scores.withColumn("rank", F.row_number().over(w)).select("qid", "doc_id", "score", "rank", "old_rank")
 
@@ -87,12 +100,12 @@ def rm1_rerank(results: DataFrame, tf: DataFrame, query: DataFrame, mu: float =
 def expansion_terms(embeddings: DataFrame, query: DataFrame, k: int = TOP_TERMS) -> DataFrame:
     """``qid, word, sim, weight, place``: the k words nearest to the query in its own embedding (qid, word, vec of
     length 1). The similarities to the query's words are summed by adding up their vectors first; weights are the
-    similarities over their sum. Ties go to the greater word."""
+    similarities over their sum. Similarities that agree in nine decimals are ties, which go to the greater word."""
     q = embeddings.join(query.select("qid", F.col("term").alias("word"), "n"), ["qid", "word"])
     dims = q.select("qid", "n", F.posexplode("vec").alias("i", "x")).groupBy("qid", "i").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
     centre = dims.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
     sim = F.aggregate(F.zip_with("vec", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.desc("word"))
+    w = Window.partitionBy("qid").orderBy(F.round("sim", 9).desc(), F.desc("word"))
     best = embeddings.join(centre, "qid").select("qid", "word", sim.alias("sim")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     return best.withColumn("weight", F.try_divide(F.col("sim"), F.sum("sim").over(Window.partitionBy("qid"))))
 
@@ -114,8 +127,6 @@ def expansion_rerank(results: DataFrame, tf: DataFrame, query: DataFrame, embedd
 def relevance_corpus(results: DataFrame, texts: DataFrame) -> DataFrame:
     """``qid, text``: the preprocessed texts (doc_id, seg, text) of a query's results in rank order, for training a
     local embedding. A row is as long as a result list of limited depth."""
-    from rankspark.functions.text import preprocess
-
     j = results.select("qid", "doc_id", "rank").join(texts, "doc_id").select("qid", F.struct("rank", "seg", preprocess(F.col("text")).alias("t")).alias("s"))
     return j.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), " ").alias("text"))
 
@@ -131,6 +142,60 @@ def train_embedding(corpus: DataFrame, size: int = 100, window: int = 8, iterati
     return unit_vectors(model.getVectors().select("word", vector_to_array("vector").alias("vec")))
 
 
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, with repeated places added up."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    to[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def skip_gram(words: list[str], size: int, window: int, iterations: int, negative: int, seed: int, rate: float = 0.05) -> tuple[list[str], np.ndarray]:
+    """Words and their vectors, learnt from one text: skip-gram with negative samples, in batches of pairs. The same
+    words in the same order give the same vectors."""
+    rng = np.random.default_rng(seed)
+    names, text, count = np.unique(np.array(words, object).astype(str), return_inverse=True, return_counts=True)
+    inner = ((rng.random((len(names), size)) - 0.5) / size).astype(np.float32)
+    outer = np.zeros((len(names), size), np.float32)
+    noise = np.cumsum(count**0.75) / (count**0.75).sum()
+    at = np.arange(len(text))
+    for k in range(iterations):
+        reach, lr = rng.integers(1, window + 1, len(text)), rate * max(1 - k / iterations, 0.05)
+        ctx = [np.stack([text[:-d][ok], text[d:][ok]]) for d in range(1, window + 1) if len(text) > d for ok in [reach[:-d] >= d] if ok.any()]
+        if not len(at) or not ctx:
+            break
+        pairs = np.concatenate([*ctx, *[c[::-1] for c in ctx]], axis=1)
+        pairs = pairs[:, rng.permutation(pairs.shape[1])]
+        for i in range(0, pairs.shape[1], 2048):
+            a, b = pairs[:, i : i + 2048]
+            b = np.concatenate([b[:, None], np.searchsorted(noise, rng.random((len(b), negative)))], axis=1)
+            b = np.minimum(b, len(names) - 1)
+            v, u = inner[a], outer[b]
+            g = -1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", v, u), -30, 30)))
+            g[:, 0] += 1
+            step = np.clip(lr * np.einsum("ik,ikj->ij", g, u), -0.1, 0.1).astype(np.float32)
+            _add_rows(outer, b.ravel(), np.clip(lr * g[:, :, None] * v[:, None, :], -0.1, 0.1).reshape(-1, size).astype(np.float32))
+            _add_rows(inner, a, step)
+    return names.tolist(), inner
+
+
+def local_embeddings(corpus: DataFrame, size: int = 50, window: int = 8, iterations: int = 3, negative: int = 5, seed: int = 1) -> DataFrame:
+    """``qid, word, vec`` of length 1: an embedding of its own for each query, trained on the ``text`` of its row of
+    ``qid, text`` (relevance_corpus(): as long as a result list of limited depth). Queries are trained side by side,
+    one row at a time. Like but not equal to other trainers' vectors; an empty text gives no words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for qid, text in zip(pdf["qid"], pdf["text"], strict=True):
+                names, vectors = skip_gram((text or "").split(), size, window, iterations, negative, seed)
+                if names:
+                    yield pd.DataFrame({"qid": qid, "word": names, "vec": list(vectors)})
+
+    kind = corpus.schema["qid"].dataType.simpleString()
+    n = max(1, min(corpus.count(), 10_000))  # a query is a task
+    return unit_vectors(corpus.select("qid", "text").repartition(n, "qid").mapInPandas(run, f"qid {kind}, word string, vec array<double>"))
+
+
 def unit_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     # In the lambda alone the norm would be computed again for every number.

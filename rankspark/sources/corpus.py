@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rankspark.functions.text import trim_ws
 from rankspark.operators.lm import unit_vectors
+from rankspark.operators.positions import largest_group, running
+from rankspark.plans.stage import numbered
 
 
-def read_xml_documents(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """``doc_id, title, content`` of every DOC element; missing children are empty; unreadable files give no rows."""
-    r = spark.read.format("xml").option("rowTag", "DOC").option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", str(recursive).lower())
+def read_xml_documents(spark: SparkSession, path: str | list[str], recursive: bool = False, names: str | None = None) -> DataFrame:
+    """``doc_id, title, content`` of every DOC element; missing children are empty; unreadable files give no rows. Only
+    files whose name fits the glob pattern ``names`` are read, if one is given."""
+    r = spark.read if names is None else spark.read.option("pathGlobFilter", names)
+    r = r.format("xml").option("rowTag", "DOC").option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", str(recursive).lower())
     df = r.schema("DOCID string, TITLE string, CONTENT string").load(path)
     return df.select(*[F.coalesce(c, F.lit("")).alias(n) for c, n in (("DOCID", "doc_id"), ("TITLE", "title"), ("CONTENT", "content"))])
 
@@ -22,15 +26,16 @@ def indexed_text() -> Column:
 
 def training_sample(files: DataFrame, file: str = "file", doc_id: str = "doc_id") -> DataFrame:
     """Every second file and of those every fifth document, by the order of their names: the same rows each time."""
-    names = files.select(file).distinct().withColumn("_f", F.row_number().over(Window.orderBy(file)))
-    kept = files.join(names.where("_f % 2 = 1"), file)
-    return kept.withColumn("_d", F.row_number().over(Window.partitionBy(file).orderBy(doc_id))).where("_d % 5 = 1").drop("_f", "_d")
+    ordered = files.select(file).distinct().repartitionByRange(file).sortWithinPartitions(file)
+    kept = files.join(numbered(ordered, "_f").where("_f % 2 = 0"), file)
+    placed = running(kept, [file], [F.col(doc_id).asc()], {"_d": F.lit(1)}, largest_group(kept.select(file), [file]))
+    return placed.where("_d % 5 = 1").drop("_f", "_d")
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """``qid, title, description`` of topic blocks: <top>, <num> Number:, <title>, <desc>, <narr>."""
     blocks = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<top>(.*?)</top>"), F.lit(1))).alias("b"))
-    part = lambda tag, lead="": trim_ws(F.regexp_extract("b", rf"(?s)<{tag}>\s*{lead}(.*?)(?=<|$)", 1))
+    part = lambda tag, lead="": trim_ws(F.regexp_extract("b", rf"(?s)<{tag}>\s*{lead}(.*?)(?=</?(?:top|num|title|desc|narr)>|$)", 1))
     return blocks.select(F.regexp_extract("b", r"<num>\s*Number:\s*(\d+)", 1).try_cast("int").alias("qid"), part("title").alias("title"), part("desc", r"(?:Description:)?\s*").alias("description"))
 
 
@@ -70,5 +75,5 @@ def document_texts(metadata: DataFrame, bodies: DataFrame) -> DataFrame:
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """``word, vec`` of a text embedding with a header line; vectors are brought to length 1."""
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.size(f) > 2).select(f[0].alias("word"), F.transform(F.slice(f, 2, 100_000), lambda x: x.cast("double")).alias("vec"))
+    rows = spark.read.text(path).where(F.size(f) > 2).select(f[0].alias("word"), F.transform(F.slice(f, F.lit(2), F.size(f)), lambda x: x.cast("double")).alias("vec"))
     return unit_vectors(rows)
