@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankspark.operators import measures as M
-from rankspark.operators.judge import EvalConfig, gain_of, ideal_stats, judge, judgment_stats, rank_run
+from rankspark.operators.judge import EvalConfig, gain_of, ideal_stats, judge, judgment_stats
+from rankspark.operators.positions import largest_group, running
+from rankspark.plans.stage import materialise
 
 MISSING_Z = -1000000.0  # fixed value: the score of a value without a reference
 COUNTS = ("num_q", "num_ret", "num_rel", "num_rel_ret", "num_nonrel_judged_ret", "prefs_num_prefs_poss", "prefs_num_prefs_ful", "prefs_num_prefs_ful_ret")
@@ -18,36 +20,37 @@ def per_query_values(run: DataFrame, qrels: DataFrame, cfg: EvalConfig, wanted:
     """``keys, measure, avg, value, text``: one row per query (or query and judgment group) and measure."""
     keys = list(cfg.keys)
     rows = judge(run, qrels, cfg)
-    stats = judgment_stats(qrels, cfg)
-    rows = rows.join(stats, keys)
     sets: dict[tuple, str] = {}
+    gains_of = lambda w: w.params if w.measure.kind == "gains" else ()
     for w in wanted:
         if w.measure.name in M.GAIN_MEASURES:
-            sets.setdefault(w.params if w.measure.kind == "gains" else (), str(len(sets)))
+            sets.setdefault(gains_of(w), str(len(sets)))
     cutoffs = sorted({k for w in wanted if w.measure.name == "ndcg_cut" for k in w.params})
-    upto = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    needs_running = {gains_of(w) for w in wanted if w.measure.name in M.RUNNING_GAINS}
+    largest = largest_group(run, ["qid"]) if needs_running else 0
     for gains, tag in sets.items():
         rows = rows.join(ideal_stats(qrels, cfg, dict(gains), cutoffs, f"ideal_{tag}"), keys, "left")
         g, r = gain_of(F.col("rel"), dict(gains)), F.col("r")
         levels = F.col(f"ideal_{tag}.levels")
         ideal = F.coalesce(F.get(F.filter(levels, lambda x: x["m"] >= F.col("r")), F.lit(0))["gain"], F.lit(0.0))
-        rows = rows.withColumns({f"g_{tag}": g, f"ig_{tag}": ideal})
-        rows = rows.withColumns({
-            f"dcg_{tag}": F.sum(F.col(f"g_{tag}") / F.log2(r + 1)).over(upto), f"idcg_{tag}": F.sum(F.col(f"ig_{tag}") / F.log2(r + 1)).over(upto),
-            f"gain_{tag}": F.sum(f"g_{tag}").over(upto), f"cost_{tag}": F.sum(F.greatest(F.col(f"ig_{tag}"), F.lit(1.0))).over(upto),
-        })
+        rows = rows.withColumn(f"g_{tag}", g)
+        if gains in needs_running:
+            rows = running(rows.withColumn(f"ig_{tag}", ideal), keys, [r.asc()], {
+                f"dcg_{tag}": F.col(f"g_{tag}") / F.log2(r + 1), f"idcg_{tag}": F.col(f"ig_{tag}") / F.log2(r + 1),
+                f"gain_{tag}": F.col(f"g_{tag}"), f"cost_{tag}": F.greatest(F.col(f"ig_{tag}"), F.lit(1.0)),
+            }, largest)
     built: list[tuple[str, str, Column]] = []
     for w in wanted:
         if w.measure.name == "utility":
             made = w.measure.build(w, cfg.collection_size)
         elif w.measure.name in M.GAIN_MEASURES:
-            made = w.measure.build(w, sets[w.params if w.measure.kind == "gains" else ()])
+            made = w.measure.build(w, sets[gains_of(w)])
         else:
             made = w.measure.build(w)
         built += [(label, w.measure.avg, col) for label, col in made]
     agg = rows.groupBy(*keys).agg(F.lit(1).alias("_some"), *[col.alias(f"v{i}") for i, (_, _, col) in enumerate(built)])
     # A query whose documents were all dropped still counts, with nothing retrieved.
-    base = stats.join(rank_run(run).select("qid").distinct(), "qid", "left_semi")
+    base = judgment_stats(qrels, cfg).join(run.select("qid").distinct(), "qid", "left_semi")
     wide = base.join(agg, keys, "left")
     entries = []
     for i, (label, avg, _) in enumerate(built):
@@ -71,7 +74,7 @@ def summary_values(values: DataFrame, judged: DataFrame, cfg: EvalConfig) -> Dat
     counting as 0 (for geometric means as their floor). ``judged`` is the result of judgment_stats()."""
     n_q = values.select("qid").distinct().agg(F.count(F.lit(1)).alias("n_ret"))
     n_all = judged.select("qid").distinct().agg(F.count(F.lit(1)).alias("n_all"))
-    s = values.where("avg != 'none'").groupBy("measure", "avg").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    s = values.where("avg != 'none' and measure is not null").groupBy("measure", "avg").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
     sizes = n_q.join(n_all).join(judged.agg(F.sum("n_pos").cast("double").alias("r0")))  # one row each
     s = s.join(F.broadcast(sizes))
     n = F.col("n_all") if cfg.complete else F.col("n")
@@ -98,7 +101,8 @@ def evaluate(run: DataFrame, qrels: DataFrame, cfg: EvalConfig | None = None, zs
 
     Rows with qid 'all' hold the summary; text holds what isn't a number. With zscores the values are scores of the
     values, and Z stands before the names of what is a number. Queries in only one of the two inputs are
-    ignored, unless cfg.complete. No query in common gives only the rows of the whole run.
+    ignored, unless cfg.complete. No query in common is an error. Run and judgments are read once, and the values of the
+    queries are computed once.
     """
     from rankspark.operators.prefs import preference_values
 
@@ -107,6 +111,10 @@ def evaluate(run: DataFrame, qrels: DataFrame, cfg: EvalConfig | None = None, zs
     names = {w.measure.name for w in wanted}
     if cfg.only_query is not None:
         run, qrels = run.where(F.col("qid") == cfg.only_query), qrels.where(F.col("qid") == cfg.only_query)
+    run = materialise(run.select(*[c for c in ("qid", "docno", "sim", "run_id", "line_no") if c in run.columns]))
+    qrels = materialise(qrels.select(*[c for c in ("qid", "jg", "jsg", "docno", "rel", "level") if c in qrels.columns]))
+    if run.select("qid").join(qrels.select("qid").distinct(), "qid", "left_semi").isEmpty():
+        raise ValueError("run and judgments have no query in common")
     plain = [w for w in wanted if not w.measure.name.startswith("prefs_") and not w.measure.name.endswith("_avgjg") and w.measure.name not in ("runid", "num_q")]
     grouped = [w for w in wanted if w.measure.name.endswith("_avgjg") and not w.measure.name.startswith("prefs_")]
     prefs = [w for w in wanted if w.measure.name.startswith("prefs_")]
@@ -118,9 +126,12 @@ def evaluate(run: DataFrame, qrels: DataFrame, cfg: EvalConfig | None = None, zs
         parts.append(by.groupBy("qid", "measure", "avg").agg(F.avg("value").alias("value"), F.lit(None).cast("string").alias("text")))
     if prefs:
         parts.append(preference_values(run, qrels, cfg, [w.measure.name for w in prefs]))
+    if not parts:  # only what is said of the whole run
+        parts.append(per_query_values(run, qrels, replace(cfg, keys=("qid",)), M.parse_measures(["num_ret"])).withColumn("measure", F.lit(None).cast("string")))
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p.select(*values.columns))
+    values = materialise(values)
     if "rel" in qrels.columns:
         judged = judgment_stats(qrels, replace(cfg, keys=("qid",)))
     else:
@@ -129,7 +140,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, cfg: EvalConfig | None = None, zs
         values = zscore_values(values, zscores)
     out = []
     if cfg.per_query:
-        out.append(values.where("avg != 'geo'").select(*_TIDY))
+        out.append(values.where("avg != 'geo' and measure is not null").select(*_TIDY))
     if cfg.summary:
         out += [*_whole_run(run, values, judged, cfg, names), summary_values(values, judged, cfg)]
     result = out[0]
@@ -171,7 +182,7 @@ def mean_ndcg(results: DataFrame, gold: DataFrame, cutoffs: tuple[int, ...] = (5
     j = results.select("qid", "docno", "rank").join(gold.select("qid", "docno", "rel"), ["qid", "docno"], "left")
     d = lambda g, i: F.coalesce(g, F.lit(0)) / F.log2(i + 1)
     got = j.groupBy("qid").agg(*[F.sum(F.when(F.col("rank") <= k, d(F.col("rel"), F.col("rank")))).alias(f"d{k}") for k in cutoffs])
-    i = gold.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"))))
+    i = running(gold.select("qid", "docno", "rel"), ["qid"], [F.desc("rel"), F.asc("docno")], {"i": F.lit(1)}, largest_group(gold, ["qid"]))
     best = i.groupBy("qid").agg(*[F.sum(F.when(F.col("i") <= k, d(F.col("rel"), F.col("i")))).alias(f"i{k}") for k in cutoffs])
     return got.join(best, "qid").select("qid", *[F.coalesce(F.try_divide(F.coalesce(f"d{k}", F.lit(0.0)), F.col(f"i{k}")), F.lit(0.0)).alias(f"ndcg_{k}") for k in cutoffs])
 

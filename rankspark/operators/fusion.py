@@ -11,60 +11,65 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankspark.plans.stage import maybe_broadcast
+from rankspark.operators.pairs import dealt
+from rankspark.operators.positions import largest_group, running
+from rankspark.plans.stage import maybe_broadcast, small_or_none
 
 RRF_K = 100  # fixed value
+UNROLLED = 64  # engines whose votes are written out one by one
 FLOOR = 1e-4  # fixed value: what every slot of a rank histogram starts with
 
 
 def long_ranks(rows: DataFrame) -> DataFrame:
-    """``qid, doc_id, seq, label, engine, rank`` with null ranks kept."""
-    return rows.select("qid", "doc_id", "seq", "label", F.explode("ranks").alias("engine", "rank"))
+    """``qid, doc_id, seq, label, engine, rank`` with null ranks kept; a document without ranks has one row of nulls."""
+    return rows.select("qid", "doc_id", "seq", "label", F.explode_outer("ranks").alias("engine", "rank"))
 
 
 def max_ranks(long: DataFrame) -> DataFrame:
     """The greatest rank each engine gives in any query. Engines are few; the join is broadcast if they are."""
-    return maybe_broadcast(long.groupBy("engine").agg(F.max("rank").alias("max_rank")))
+    return maybe_broadcast(long.where("engine is not null").groupBy("engine").agg(F.max("rank").alias("max_rank")))
 
 
-def _ranked(scores: DataFrame, *more: Column) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), *more, F.asc("seq"))
-    return scores.select("qid", "doc_id", "score", F.row_number().over(w).alias("rank"))
+def _ranked(scores: DataFrame, largest: int, *more: Column) -> DataFrame:
+    """Ranks by score; ``largest``: rows of the largest query."""
+    placed = running(scores, ["qid"], [F.desc("score"), *more, F.asc("seq")], {"rank": F.lit(1)}, largest)
+    return placed.select("qid", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def _sum_scores(rows: DataFrame, long: DataFrame, part: Column) -> DataFrame:
+def _sum_scores(long: DataFrame, part: Column) -> DataFrame:
     """Sum of the parts per document; documents no engine ranked score 0."""
-    docs = rows.groupBy("qid", "doc_id").agg(F.min("seq").alias("seq"))
-    s = long.where("rank is not null").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
-    return docs.join(s, ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)).cast("double"))
+    s = long.groupBy("qid", "doc_id").agg(F.min("seq").alias("seq"), F.sum(F.when(F.col("rank").isNotNull(), part)).alias("score"))
+    return s.withColumn("score", F.coalesce("score", F.lit(0.0)).cast("double"))
 
 
-def rrf(rows: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion: sum of 1 / (k + rank) over the engines that rank a document."""
-    return _ranked(_sum_scores(rows, long_ranks(rows), F.lit(1.0) / (F.lit(k) + F.col("rank"))))
+def rrf(rows: DataFrame, k: int = RRF_K, digits: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion: sum of 1 / (k + rank) over the engines that rank a document. With ``digits`` scores are
+    rounded before they are ranked, so that the order in which they were added up can't decide."""
+    s = _sum_scores(long_ranks(rows), F.lit(1.0) / (F.lit(k) + F.col("rank")))
+    return _ranked(s if digits is None else s.withColumn("score", F.round("score", digits)), largest_group(rows, ["qid"]))
 
 
 def _borda_scores(rows: DataFrame) -> DataFrame:
     long = long_ranks(rows)
-    return _sum_scores(rows, long.join(max_ranks(long), "engine"), F.col("max_rank") - F.col("rank") + 1)
+    return _sum_scores(long.join(max_ranks(long), "engine", "left"), F.col("max_rank") - F.col("rank") + 1)
 
 
 def borda(rows: DataFrame) -> DataFrame:
     """Borda count: sum of (greatest rank of the engine - rank + 1)."""
-    return _ranked(_borda_scores(rows))
+    return _ranked(_borda_scores(rows), largest_group(rows, ["qid"]))
 
 
 def engine_weights(rows: DataFrame, k: int = RRF_K) -> DataFrame:
     """``engine, weight``: how well an engine places what is labelled relevant; weights sum to 1."""
-    s = long_ranks(rows).groupBy("engine").agg(F.coalesce(F.sum(F.col("label") / (F.lit(k) + F.col("rank"))), F.lit(0.0)).alias("s"))
+    s = long_ranks(rows).where("engine is not null").groupBy("engine").agg(F.coalesce(F.sum(F.col("label") / (F.lit(k) + F.col("rank"))), F.lit(0.0)).alias("s"))
     return s.select("engine", F.coalesce(F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)).alias("weight"))
 
 
 def weighted_borda(rows: DataFrame, k: int = RRF_K) -> DataFrame:
     """Borda count with each engine's part weighted by engine_weights()."""
     long = long_ranks(rows)
-    j = long.join(max_ranks(long), "engine").join(maybe_broadcast(engine_weights(rows, k)), "engine")
-    return _ranked(_sum_scores(rows, j, F.col("weight") * (F.col("max_rank") - F.col("rank") + 1)))
+    j = long.join(max_ranks(long), "engine", "left").join(maybe_broadcast(engine_weights(rows, k)), "engine", "left")
+    return _ranked(_sum_scores(j, F.col("weight") * (F.col("max_rank") - F.col("rank") + 1)), largest_group(rows, ["qid"]))
 
 
 def condorcet(rows: DataFrame) -> DataFrame:
@@ -72,22 +77,29 @@ def condorcet(rows: DataFrame) -> DataFrame:
 
     Of two rows the earlier one gets a vote from each engine that ranks it and the other not, or ranks it strictly
     better; else the later one does, unless neither is ranked. Equal votes are no win. All pairs of a query's rows are
-    compared, those of one document too, and a row's wins count for its document; seq is unique within a query.
+    compared, those of one document too, and a row's wins count for its document; seq is unique within a query. A
+    query's earlier rows are dealt into blocks, each of which meets all of its later rows.
     """
-    docs = rows.select("qid", "doc_id", "seq", "ranks")
-    # The pairs are many times the rows, so the partitions mustn't be coalesced by the rows' size.
-    docs = docs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
-    later = docs.select("qid", F.col("doc_id").alias("d2"), F.col("seq").alias("s2"), F.col("ranks").alias("r2"))
+    # With few engines a row's ranks are columns by engine, else they stay a map.
+    engines = small_or_none(rows.select(F.explode(F.map_keys("ranks")).alias("e")).distinct().orderBy("e"), UNROLLED)
 
     def vote(a: Column, b: Column) -> Column:
         return F.when(a.isNull() & b.isNull(), 0).when(b.isNull(), 1).when(a.isNull(), -1).when(a < b, 1).otherwise(-1)
 
-    engines = F.array_union(F.map_keys("ranks"), F.map_keys("r2"))
-    votes = F.aggregate(engines, F.lit(0), lambda acc, e: acc + vote(F.col("ranks")[e], F.col("r2")[e]))
-    pairs = docs.join(later, "qid").where("seq < s2").select("qid", "doc_id", "d2", votes.alias("v")).where("v != 0")
+    of = [F.col("ranks").alias("_m")] if engines is None else [F.col("ranks")[r.e].alias(f"_{i}") for i, r in enumerate(engines)]
+    docs = rows.select("qid", "doc_id", "seq", *of)
+    later = docs.toDF("qid", "d2", "s2", *[f"{c}l" for c in docs.columns[3:]])
+    if engines is None:
+        votes = F.aggregate(F.array_union(F.map_keys("_m"), F.map_keys("_ml")), F.lit(0), lambda acc, e: acc + vote(F.col("_m")[e], F.col("_ml")[e]))
+    else:
+        votes = sum((vote(F.col(c), F.col(f"{c}l")) for c in docs.columns[3:]), F.lit(0))
+    left, right, on = dealt(docs, later, ["qid"], "seq")
+    # The pairs are many times the rows, so the partitions mustn't be coalesced by the rows' size.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(n, *on).join(right.repartition(n, *on), on).where("seq < s2").select("qid", "doc_id", "d2", votes.alias("v")).where("v != 0")
     won = pairs.select("qid", F.when(F.col("v") > 0, F.col("doc_id")).otherwise(F.col("d2")).alias("doc_id")).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("wins"))
     b = _borda_scores(rows).withColumnRenamed("score", "borda").join(won, ["qid", "doc_id"], "left")
-    return _ranked(b.withColumn("score", F.coalesce("wins", F.lit(0)).cast("double")), F.desc("borda"))
+    return _ranked(b.withColumn("score", F.coalesce("wins", F.lit(0)).cast("double")), largest_group(rows, ["qid"]), F.desc("borda"))
 
 
 def _smooth(rows: DataFrame, reach: int, weight: Column, tops: DataFrame, name: str) -> DataFrame:
@@ -108,7 +120,8 @@ def bayes_fuse(rows: DataFrame, reach: int = 3, reach_irrelevant: int = 5) -> Da
     Relevant documents (label > 0) weigh as their label, the others 1; the engines of a query are those its first
     document names. Null ranks add nothing.
     """
-    long = long_ranks(rows)
+    every = long_ranks(rows)
+    long = every.where("engine is not null")
     tops = max_ranks(long)
     # null labels count as not relevant
     label = F.coalesce("label", F.lit(0))
@@ -120,8 +133,9 @@ def bayes_fuse(rows: DataFrame, reach: int = 3, reach_irrelevant: int = 5) -> Da
     odds = rel.join(irr, ["engine", "slot"], "full")
     odds = odds.select("engine", F.col("slot").alias("rank"), (of("rel", n_rel) - of("irr", n_irr)).alias("odds"))
     first = rows.groupBy("qid").agg(F.map_keys(F.min_by("ranks", "seq")).alias("engines"))
-    used = long.join(first, "qid").where(F.array_contains("engines", F.col("engine")) & F.col("rank").isNotNull())
+    used = every.join(first, "qid")
+    counts = F.array_contains("engines", F.col("engine")) & F.col("rank").isNotNull()
     # Ranks no labelled document comes near have the floor in both histograms.
     bare = F.log(F.lit(FLOOR) / n_rel) - F.log(F.lit(FLOOR) / n_irr)
     j = used.join(odds, ["engine", "rank"], "left")
-    return _ranked(_sum_scores(rows, j, F.coalesce("odds", bare)))
+    return _ranked(_sum_scores(j, F.when(counts, F.coalesce("odds", bare))), largest_group(rows, ["qid"]))

@@ -1,7 +1,7 @@
 """Runs joined with judgments: the frame all measures are computed on.
 
-Everything is partitioned by query. A query's ranking is sorted once, in a window that spills; all running counts come
-from that one window.
+Run and judgments of a document meet in one aggregation by query and document, which also finds those given twice. A
+query's ranking is sorted once, and all running counts come from that sort; rankings of very many documents are split.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rankspark.operators import positions
+from rankspark.operators.positions import largest_group, running
+from rankspark.plans.stage import materialise
+
 # Relevance of a document that isn't in the pool, and of one in the pool that wasn't judged.
 NOT_IN_POOL, UNJUDGED = -1, -2
 
@@ -32,47 +36,68 @@ class EvalConfig:
     keys: tuple[str, ...] = field(default=("qid",))
 
 
-def _unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Fails the query if a key repeats (a window over the keys, no extra pass)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    bad = F.raise_error(F.concat(F.lit(f"duplicate document in {what}: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])))
-    return df.withColumn("_dup", F.when(n > 1, bad.cast("int")).otherwise(F.lit(0))).where("_dup = 0").drop("_dup")
+def _error(what: str, keys: list[str]) -> Column:
+    return F.raise_error(F.concat(F.lit(f"duplicate document in {what}: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))).cast("boolean")
+
+
+def unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """One row per key with the other columns; fails the query if a key repeats."""
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("_n"))
+    return g.where(F.when(F.col("_n") > 1, _error(what, keys)).otherwise(F.lit(True))).select(*df.columns)
+
+
+def _order(docno_desc: bool = True) -> list[Column]:
+    """By sim as a float descending, ties by docno descending (or ascending)."""
+    return [F.col("sim").cast("float").desc(), F.col("docno").desc() if docno_desc else F.col("docno").asc()]
 
 
 def rank_run(run: DataFrame, max_docs: int = 2**31 - 1, docno_desc: bool = True) -> DataFrame:
     """``qid, docno, sim, rank``: rank by sim (as float) descending, ties by docno descending (or ascending)."""
-    tie = F.col("docno").desc() if docno_desc else F.col("docno").asc()
-    w = Window.partitionBy("qid").orderBy(F.col("sim").cast("float").desc(), tie)
-    r = _unique(run.select("qid", "docno", "sim"), ["qid", "docno"], "run").withColumn("rank", F.row_number().over(w))
-    return r.where(F.col("rank") <= max_docs)
+    r = unique(run.select("qid", "docno", "sim"), ["qid", "docno"], "run")
+    return running(r, ["qid"], _order(docno_desc), {"rank": F.lit(1)}, largest_group(run, ["qid"])).where(F.col("rank") <= max_docs)
+
+
+def matched(run: DataFrame, qrels: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, docno, sim, rel``: the run's documents, per key of their query's judgments, with their judgment if any."""
+    if keys == ["qid"]:
+        kind = qrels.schema["rel"].dataType
+        one, none = F.lit(1), F.lit(0)
+        both = run.select("qid", "docno", F.col("sim").cast("float").alias("sim"), F.lit(None).cast(kind).alias("rel"), one.alias("_r"), none.alias("_q"))
+        both = both.unionByName(qrels.select("qid", "docno", F.lit(None).cast("float").alias("sim"), "rel", none.alias("_r"), one.alias("_q")))
+        g = both.groupBy("qid", "docno").agg(F.max("sim").alias("sim"), F.max("rel").alias("rel"), F.sum("_r").alias("_r"), F.sum("_q").alias("_q"))
+        # one expression, so that no part of it can be tested before the errors
+        kept = F.when(F.col("_r") > 1, _error("run", ["qid", "docno"])).when(F.col("_q") > 1, _error("judgments", ["qid", "docno"])).otherwise(F.col("_r") == 1)
+        return g.where(kept).select("qid", "docno", "sim", "rel")
+    q = unique(qrels.select(*keys, "docno", "rel"), [*keys, "docno"], "judgments")
+    r = unique(run.select("qid", "docno", "sim"), ["qid", "docno"], "run")
+    return r.join(qrels.select(*keys).distinct(), "qid").join(q, [*keys, "docno"], "left").select(*keys, "docno", "sim", "rel")
 
 
 def judge(run: DataFrame, qrels: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """Per retrieved document of a judged query: ``keys, docno, r, rel, is_rel, c, nonrel_above, pool_above, judged_above, n``.
+    """Per retrieved document of a judged query: ``keys, docno, r, rel, is_rel, c, nonrel_above, pool_above, n`` and the
+    query's judgment_stats().
 
     ``keys`` is (qid) or (qid, jg). rel is NOT_IN_POOL without a judgment and UNJUDGED for a negative one. c counts the
     relevant documents down to r; the ``_above`` columns count strictly above it. A document that repeats within a
     query, in the run or in the judgments, fails the query.
     """
     keys = list(cfg.keys)
-    ranked = rank_run(run, cfg.max_docs)
-    q = _unique(qrels.select(*keys, "docno", "rel"), [*keys, "docno"], "judgments")
-    wanted = q.select(*keys).distinct()
-    rows = ranked.join(wanted, "qid").join(q, [*keys, "docno"], "left")
+    largest = largest_group(run, ["qid"])
     rel = F.when(F.col("rel").isNull(), NOT_IN_POOL).when(F.col("rel") < 0, UNJUDGED).otherwise(F.col("rel"))
-    rows = rows.withColumn("rel", rel)
-    if cfg.judged_only:
-        rows = rows.where("rel >= 0")
-    w = Window.partitionBy(*keys).orderBy("rank")
-    upto, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = matched(run, qrels, keys).join(judgment_stats(qrels, cfg), keys).withColumn("rel", rel)
+    kept = (F.col("rel") >= 0) if cfg.judged_only else F.lit(True)
     is_rel = (F.col("rel") >= cfg.level).cast("int")
     nonrel = ((F.col("rel") >= 0) & (F.col("rel") < cfg.level)).cast("int")
-    count = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
-    return rows.select(
-        *keys, "docno", F.row_number().over(w).cast("long").alias("r"), "rel", is_rel.alias("is_rel"), count(is_rel, upto).alias("c"),
-        count(nonrel, above).alias("nonrel_above"), count((F.col("rel") != NOT_IN_POOL).cast("int"), above).alias("pool_above"),
-        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"),
+    pool = ((F.col("rel") != NOT_IN_POOL) & kept).cast("int")
+    rows = running(rows, keys, _order(), {"_rank": F.lit(1), "r": kept.cast("int"), "c": is_rel, "_non": nonrel, "_pool": pool}, largest)
+    rows = rows.where((F.col("_rank") <= cfg.max_docs) & kept).select(
+        *keys, "docno", "r", "rel", is_rel.alias("is_rel"), "c", (F.col("_non") - nonrel).alias("nonrel_above"), (F.col("_pool") - pool).alias("pool_above"), "n_rel", "n_nonrel", "n_pos",
     )
+    if largest <= positions.SPLIT:
+        return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    rows = materialise(rows)
+    return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
 
 
 def gain_of(rel: Column, gains: dict[int, float]) -> Column:
@@ -97,8 +122,8 @@ def ideal_stats(qrels: DataFrame, cfg: EvalConfig, gains: dict[int, float], cuto
     ``idcg_p`` (with the other discount), ``at<k>`` for each cutoff, and per level of gain, from the best, ``levels:
     array<struct<m, gain, idcg>>`` with the rank m the level ends at. Levels are few."""
     keys = list(cfg.keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("g"))
-    pos = qrels.withColumn("g", gain_of(F.col("rel"), gains)).where("g > 0").withColumn("i", F.row_number().over(w).cast("long"))
+    pos = qrels.select(*keys, "docno", gain_of(F.col("rel"), gains).alias("g")).where("g > 0")
+    pos = running(pos, keys, [F.col("g").desc(), F.col("docno").asc()], {"i": F.lit(1)}, largest_group(qrels, keys))
     d = F.col("g") / F.log2(F.col("i") + 1)
     dp = F.when(F.col("i") > 1, F.col("g") / F.log2(F.col("i").cast("double"))).otherwise(F.col("g"))
     per_level = pos.groupBy(*keys, "g").agg(

@@ -268,8 +268,8 @@ def _gain_columns(tag: str) -> tuple[Column, Column, Column]:
 
 @measure("ndcg", "gains")
 def _ndcg(w: Wanted, tag: str = "0"):
-    _, dcg, ideal = _gain_columns(tag)
-    return [(w.label, div(F.max_by(dcg, at.r), first(ideal["idcg"])))]
+    g, _, ideal = _gain_columns(tag)
+    return [(w.label, div(total(g / F.log2(at.r + 1)), first(ideal["idcg"])))]
 
 
 @measure("ndcg_p", "gains")
@@ -281,8 +281,8 @@ def _ndcg_p(w: Wanted, tag: str = "0"):
 
 @measure("ndcg_cut", "int", CUTOFFS)
 def _ndcg_cut(w: Wanted, tag: str = "0"):
-    _, dcg, ideal = _gain_columns(tag)
-    return [(f"ndcg_cut_{k}", div(F.max_by(F.when(at.r <= k, dcg), F.when(at.r <= k, at.r)), first(ideal[f"at{k}"]))) for k in w.params]
+    g, _, ideal = _gain_columns(tag)
+    return [(f"ndcg_cut_{k}", div(total(g / F.log2(at.r + 1), at.r <= k), first(ideal[f"at{k}"]))) for k in w.params]
 
 
 @measure("ndcg_rel", "gains")
@@ -310,6 +310,7 @@ def _g(w: Wanted, tag: str = "0"):
 
 
 GAIN_MEASURES = ("ndcg", "ndcg_p", "ndcg_cut", "ndcg_rel", "Rndcg", "G")
+RUNNING_GAINS = ("ndcg_rel", "Rndcg", "G")  # those that need the discounted gain at every rank
 for _name, _of in (("map_avgjg", "map"), ("P_avgjg", "P"), ("Rprec_mult_avgjg", "Rprec_mult")):
     _m = REGISTRY[_of]
     measure(_name, _m.kind, _m.default)(

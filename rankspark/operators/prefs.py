@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rankspark.operators.judge import EvalConfig, rank_run
+from rankspark.operators.judge import EvalConfig, rank_run, unique
+from rankspark.operators.pairs import dealt
+from rankspark.operators.positions import largest_group, running
 from rankspark.plans.stage import materialise
 
 _JG = ["qid", "jg"]
@@ -20,12 +22,14 @@ def positions(run: DataFrame, prefs: DataFrame, max_docs: int) -> DataFrame:
     """``qid, docno, pos, ret``: places of the judged documents of retrieved queries, from 1."""
     ranked = rank_run(run, max_docs, docno_desc=False)
     docs = prefs.select("qid", "docno").distinct().join(ranked.select("qid").distinct(), "qid", "left_semi")
-    w = Window.partitionBy("qid").orderBy(F.col("rank").asc_nulls_last(), F.col("docno"))
-    return docs.join(ranked.select("qid", "docno", "rank"), ["qid", "docno"], "left").select("qid", "docno", F.row_number().over(w).alias("pos"), F.col("rank").isNotNull().alias("ret"))
+    held = docs.join(ranked.select("qid", "docno", "rank"), ["qid", "docno"], "left")
+    placed = running(held, ["qid"], [F.col("rank").asc_nulls_last(), F.col("docno").asc()], {"pos": F.lit(1)}, largest_group(prefs, ["qid"]))
+    return placed.select("qid", "docno", "pos", F.col("rank").isNotNull().alias("ret"))
 
 
 def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Transitive closure of ``qid, jg, a, b`` (a preferred to b). A cycle fails the query."""
+    """Transitive closure of ``qid, jg, a, b`` (a preferred to b). A cycle fails the query, as do chains of more than
+    2^max_rounds preferences (a round doubles what is reached)."""
     keys = [*_JG, "a", "b"]
     known = materialise(edges.select(*keys).distinct())
     size = known.count()
@@ -35,6 +39,8 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if grown.count() == size:
             break
         known, size = grown, grown.count()
+    else:
+        raise ValueError(f"the preferences are not closed after {max_rounds} rounds")
     if not known.where(F.col("a") == F.col("b")).isEmpty():
         raise ValueError("preferences contradict each other")
     return known
@@ -43,16 +49,17 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 def preference_pairs(prefs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All pairs ``qid, jg, a, b`` with a preferred to b, and per group whether it has several subgroups."""
     kinds = prefs.groupBy(*_JG).agg((F.countDistinct("jsg") > 1).alias("matrix"))
-    p = prefs.select(*_JG, "jsg", "docno", "level")
-    b = p.select(*_JG, "jsg", F.col("docno").alias("b"), F.col("level").alias("lb"))
-    edges = p.withColumnRenamed("docno", "a").join(b, [*_JG, "jsg"]).where("level > lb").select(*_JG, "a", "b").join(kinds, _JG)
+    p = unique(prefs.select(*_JG, "jsg", "docno", "level"), [*_JG, "jsg", "docno"], "preferences").withColumnRenamed("docno", "a")
+    b = p.select(*_JG, "jsg", F.col("a").alias("b"), F.col("level").alias("lb"))
+    left, right, on = dealt(p, b, [*_JG, "jsg"], "a")
+    edges = left.join(right, on).where("level > lb").select(*_JG, "a", "b").join(kinds, _JG)
     plain = edges.where("not matrix").select(*_JG, "a", "b")
     return plain.unionByName(closure(edges.where("matrix"))), kinds
 
 
 def preference_values(run: DataFrame, prefs: DataFrame, cfg: EvalConfig, names: list[str]) -> DataFrame:
     """``qid, measure, avg, value, text`` of the preference measures asked for."""
-    prefs = prefs.join(rank_run(run).select("qid").distinct(), "qid", "left_semi")
+    prefs = materialise(prefs.join(run.select("qid").distinct(), "qid", "left_semi"))
     pos = materialise(positions(run, prefs, cfg.max_docs))
     pairs, kinds = preference_pairs(prefs)
     at = lambda s: pos.select("qid", F.col("docno").alias(s), F.col("pos").alias(f"p{s}"), F.col("ret").alias(f"r{s}"))

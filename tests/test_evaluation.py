@@ -1,12 +1,13 @@
 import os
 import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankspark.operators import evaluate as E, measures as M
+from rankspark.operators import evaluate as E, measures as M, positions
 from rankspark.operators.judge import EvalConfig, judge, rank_run
-from rankspark.operators.prefs import closure
+from rankspark.operators.prefs import closure, preference_pairs
 from rankspark.sources import trec
 
 #: The folder of the public golden outputs, read in place.
@@ -88,6 +89,42 @@ def test_closure_and_cycles(spark):
         closure(e.unionByName(spark.createDataFrame([("1", "g", "d", "a")], e.schema)))
 
 
+def test_closure_that_does_not_end_in_time_fails(spark):
+    e = spark.createDataFrame([("1", "g", str(i), str(i + 1)) for i in range(9)], "qid string, jg string, a string, b string")
+    with pytest.raises(ValueError, match="not closed"):
+        closure(e, max_rounds=2)
+    assert closure(e, max_rounds=6).count() == 45
+
+
+def test_no_query_in_common_fails_and_the_run_tag_comes_out(spark):
+    run = _run(spark, [("1", "a", 1.0)]).withColumn("run_id", F.lit("tag"))
+    qrels = spark.createDataFrame([("1", "a", 1)], "qid string, docno string, rel int")
+    assert [(r.measure, r.text) for r in E.evaluate(run, qrels, EvalConfig(measures=("runid",))).collect()] == [("runid", "tag")]
+    with pytest.raises(ValueError, match="no query in common"):
+        E.evaluate(run, qrels.withColumn("qid", F.lit("2")))
+
+
+def test_a_document_twice_in_a_subgroup_fails(spark):
+    p = spark.createDataFrame([("1", "g", "0", "a", 1.0), ("1", "g", "0", "a", 2.0)], "qid string, jg string, jsg string, docno string, level float")
+    with pytest.raises(Exception, match="duplicate document"):
+        preference_pairs(p)[0].collect()
+
+
+ALL_KINDS = ("all_trec", "relstring.20")
+
+
+def test_split_rankings_give_the_same_measures(spark, monkeypatch):
+    """All measures with every query's ranking split over tasks, against one window per query."""
+    rnd = random.Random(5)
+    rows = [(str(q), f"d{i}", rnd.randint(0, 9) / 4) for q in range(3) for i in range(rnd.randint(5, 60))]
+    qrels = spark.createDataFrame([(q, d, rnd.choice([-1, 0, 0, 1, 2])) for q, d, _ in rows if rnd.random() < 0.7] + [("1", "unseen", 2)], "qid string, docno string, rel int")
+    values = lambda cfg: {(r.measure, r.qid): r.text or round(r.value, 9) for r in E.evaluate(_run(spark, rows).repartition(5), qrels, cfg).collect()}
+    cases = [EvalConfig(measures=ALL_KINDS, per_query=True), EvalConfig(measures=ALL_KINDS, per_query=True, judged_only=True, max_docs=30)]
+    whole = [values(c) for c in cases]
+    monkeypatch.setattr(positions, "SPLIT", 4)
+    assert [values(c) for c in cases] == whole
+
+
 def test_malformed_lines_fail(spark, tmp_path):
     (tmp_path / "q").write_text("1 0 a 1\n\n1 0 b\n")
     with pytest.raises(Exception, match="malformed line"):

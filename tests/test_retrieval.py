@@ -188,6 +188,63 @@ def test_bpe(spark):
     assert "".join(sorted("".join(r.term for r in tokens.where("doc_id = 1").collect()))) == "".join(sorted("newestlowest"))
 
 
+def test_merges_in_batches_are_those_of_training_one_at_a_time(spark):
+    rnd = random.Random(8)
+    for case in range(3):
+        words = ["".join(rnd.choices("abcdeé", weights=[5, 4, 3, 2, 1, 1], k=rnd.randint(1, 9))) for _ in range(60)]
+        text = " ".join(rnd.choices(words, k=300))
+        want: list[tuple[str, str]] = []
+        for _ in range(30):
+            ranks, pairs = {m: i for i, m in enumerate(want)}, {}
+            for w in text.split():
+                parts = bpe.encode_word(w, ranks)
+                for pair in zip(parts, parts[1:], strict=False):
+                    pairs[pair] = pairs.get(pair, 0) + 1
+            want.append(min(pairs, key=lambda p: (-pairs[p], p)))
+        assert bpe.train(_docs(spark, [text]).repartition(3), 30, batch=[1000, 7, 2][case]) == want
+
+
+def test_bpe_search_splits_the_queries_too(spark, tmp_path):
+    docs = _docs(spark, ["lowest newest", "other words"])
+    m = spark.createDataFrame([(0, "l", "o"), (1, "lo", "w")], "rank int, left string, right string")
+    q = spark.createDataFrame([(1, "lowest", "low")], "qid int, title string, description string")
+    top = [(r.doc_id, round(r.score, 9)) for r in search.search(docs, q, 10, merges=m).orderBy("rank").collect()]
+    assert top[0][0] == 0
+    index.write_index(str(tmp_path), docs, merges=m)
+    assert [(r.doc_id, round(r.score, 9)) for r in search.search_index(spark, str(tmp_path), q, 10).orderBy("rank").collect()] == top
+
+
+@pytest.mark.parametrize("kind", ["vbyte", "fixed"])
+def test_encoded_lists_over_several_blocks(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(index, "packed_postings", lambda tf, d, f=index.packed_postings: f(tf, d, 3))
+    docs = _docs(spark, ["x " * (i % 200 + 1) + ("y" if i % 5 else "") for i in range(20)])
+    index.write_index(str(tmp_path), docs, encoded=kind)
+    got = {(r.term, r.doc_id, r.tf) for r in index.read_lists(spark, str(tmp_path), spark.createDataFrame([("x",), ("y",)], "term string")).collect()}
+    assert got == {("x", i, i % 200 + 1) for i in range(20)} | {("y", i, 1) for i in range(20) if i % 5}
+
+
+def test_local_embeddings_put_words_of_one_context_together(spark):
+    rnd = random.Random(3)
+    text = " ".join(" ".join(rnd.choices(g, k=12)) for _ in range(150) for g in [["sun", "sea", "sand"], ["ice", "snow", "cold"]])
+    e = lm.local_embeddings(spark.createDataFrame([(1, text), (2, ""), (3, None)], "qid int, text string"), size=16, window=3)
+    v = {r.word: r.vec for r in e.collect()}
+    assert set(v) == {"sun", "sea", "sand", "ice", "snow", "cold"}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    assert dot("sun", "sea") > dot("sun", "ice") and dot("ice", "snow") > dot("sea", "snow")
+    assert {r.word: r.vec for r in lm.local_embeddings(spark.createDataFrame([(1, text)], "qid int, text string"), size=16, window=3).collect()} == v
+
+
+def test_condorcet_in_blocks_and_with_many_engines(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(0, q, {e: rnd.choice([None, 1, 2, 3]) for e in rnd.sample(range(6), 3)}, f"d{i}", 100 * q + i) for q in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "label int, qid int, ranks map<int,int>, doc_id string, seq long")
+    want = {(q, d): n for q in (1, 2) for d, n in _condorcet_by_rows([r for r in rows if r[1] == q]).items()}
+    monkeypatch.setattr(fusion, "dealt", lambda *a, f=fusion.dealt: f(*a, block=7))
+    assert {(r.qid, r.doc_id): r.score for r in fusion.condorcet(df).collect()} == want
+    monkeypatch.setattr(fusion, "UNROLLED", 3)
+    assert {(r.qid, r.doc_id): r.score for r in fusion.condorcet(df).collect()} == want
+
+
 def test_bpe_learns_from_the_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "BPE_MERGES", 6)
     texts = ["été étage étang", "straße strasse stein stein", "niña año", None, "baaaab aaa"]
