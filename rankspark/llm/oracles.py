@@ -90,3 +90,50 @@ have AS (SELECT key, sum(n) AS n FROM d GROUP BY key), t AS (SELECT *, regexp_re
 SELECT t.source FROM t LEFT JOIN have USING (key)
 WHERE coalesce(max_repeats, 0) * coalesce(n, 0) < weight / (SELECT sum(weight) FROM mix_targets) * (SELECT sum(n) FROM d)
 """
+
+_PLACED = ORACLES["p6_found"][: ORACLES["p6_found"].index("SELECT key AS cord_uid")]
+ORACLES["p6_survivors"] = (
+    _PLACED
+    + """
+SELECT key AS cord_uid, any_value(n) AS n_rows, max(CASE WHEN field_name = 'abstract' THEN v END) AS abstract, max(CASE WHEN field_name = 'pmc_json_files' THEN v END) AS pmc_json_files, max(CASE WHEN field_name = 'title' THEN v END) AS title
+FROM placed JOIN (SELECT key, count(*) AS n FROM rows GROUP BY key) USING (key) WHERE k = 1 AND key <> '' GROUP BY key
+"""
+)
+
+# All windows of 160 characters, and those that stand in several documents.
+_WINDOWS = """
+WITH windows AS (
+  SELECT doc_id, i, substr(text, CAST(i AS INTEGER) + 1, 160) AS w FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 159, 0))) AS i FROM documents WHERE doc_id IS NOT NULL)
+), several AS (SELECT w FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)), held AS (SELECT doc_id, i, w FROM windows WHERE w IN (SELECT w FROM several))
+"""
+ORACLES["p10_found"] = _WINDOWS + ", d AS (SELECT DISTINCT doc_id, w FROM held) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.w = b.w AND a.doc_id < b.doc_id"
+_SPANS = """
+, marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 160 THEN 0 ELSE 1 END AS new FROM held),
+spans AS (SELECT doc_id, min(i) AS span_start, max(i) + 160 AS span_end FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k)
+"""
+ORACLES["p10_spans"] = _WINDOWS + _SPANS + "SELECT doc_id, span_start, span_end FROM spans"
+ORACLES["p10_coverage"] = (
+    _WINDOWS
+    + _SPANS
+    + """
+SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(n, 0) / length(text) ELSE 0.0 END AS shared_part
+FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM spans GROUP BY doc_id) USING (doc_id)
+"""
+)
+
+# Ranks clipped at 5 % of each engine in each query, distances of the vectors of length 1 to the best and the worst point.
+ORACLES["p5_ranking"] = """
+WITH docs AS (SELECT DISTINCT qid, doc_id FROM engine_ranks WHERE qid IS NOT NULL AND doc_id IS NOT NULL),
+long AS (
+  SELECT qid, doc_id, e, min(r) AS r FROM (SELECT qid, doc_id, unnest(map_keys(ranks)) AS e, unnest(map_values(ranks)) AS r FROM engine_ranks WHERE qid IS NOT NULL AND doc_id IS NOT NULL) WHERE r >= 1 GROUP BY qid, doc_id, e
+),
+cuts AS (SELECT qid, e, quantile_disc(r, 0.05) AS lo, quantile_disc(r, 0.95) AS hi, count(*) AS n FROM long GROUP BY qid, e),
+cells AS (
+  SELECT d.qid, d.doc_id, c.e, c.lo, CASE WHEN l.r IS NULL THEN c.hi + 1 ELSE greatest(least(l.r, c.hi), c.lo) END AS v, max(CASE WHEN l.r IS NULL THEN c.hi + 1 ELSE c.hi END) OVER (PARTITION BY d.qid, c.e) AS worst
+  FROM docs d JOIN cuts c ON c.qid = d.qid LEFT JOIN long l ON l.qid = d.qid AND l.doc_id = d.doc_id AND l.e = c.e
+),
+scaled AS (SELECT qid, doc_id, (v - lo) / norm AS up, (v - worst) / norm AS down FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY qid, e)) AS norm FROM cells)),
+near AS (SELECT qid, doc_id, sqrt(sum(up * up)) AS p, sqrt(sum(down * down)) AS m FROM scaled GROUP BY qid, doc_id),
+c AS (SELECT d.qid, d.doc_id, round(CASE WHEN p + m > 0 THEN m / (p + m) ELSE 0.5 END, 9) AS closeness FROM docs d LEFT JOIN near ON near.qid = d.qid AND near.doc_id = d.doc_id)
+SELECT qid, doc_id, closeness, row_number() OVER (PARTITION BY qid ORDER BY closeness DESC, doc_id) AS position FROM c
+"""
