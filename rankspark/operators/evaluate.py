@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,13 +53,13 @@ def per_query_values(run: DataFrame, qrels: DataFrame, cfg: EvalConfig, wanted:
     # A query whose documents were all dropped still counts, with nothing retrieved.
     base = judgment_stats(qrels, cfg).join(run.select("qid").distinct(), "qid", "left_semi")
     wide = base.join(agg, keys, "left")
+    # Written as one text: thousands of calls to the JVM would take longer than the query.
     entries = []
     for i, (label, avg, _) in enumerate(built):
-        text = label.split("_")[0] == "relstring"
-        v = F.col("n_rel") if label == "num_rel" else F.col(f"v{i}")
-        empty = F.lit(F.log(F.lit(M.GEO_FLOOR))) if avg == "geo" else F.lit(0.0)
-        entries.append(F.struct(F.lit(label).alias("measure"), F.lit(avg).alias("avg"), (F.lit(None).cast("double") if text else F.coalesce(v.cast("double"), empty)).alias("value"), (F.coalesce(v, F.lit("''")) if text else F.lit(None).cast("string")).alias("text")))
-    return wide.select(*keys, F.explode(F.array(*entries)).alias("m")).select(*keys, "m.*")
+        v, empty = "n_rel" if label == "num_rel" else f"v{i}", math.log(M.GEO_FLOOR) if avg == "geo" else 0.0
+        kinds = (f"CAST(NULL AS DOUBLE) AS value, coalesce({v}, '\\'\\'') AS text" if label.split("_")[0] == "relstring" else f"coalesce(CAST({v} AS DOUBLE), {empty!r}D) AS value, CAST(NULL AS STRING) AS text")
+        entries.append(f"struct('{label}' AS measure, '{avg}' AS avg, {kinds})")
+    return wide.select(*keys, F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def zscore_values(values: DataFrame, zscores: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from rankspark.operators.judge import NOT_IN_POOL
@@ -107,16 +108,23 @@ def parse_measures(names: tuple[str, ...] | list[str]) -> list[Wanted]:
 
 # Columns of the judged frame. n_rel, n_nonrel, n and the ideal ranking are the same in all rows of a query.
 class _Frame:
-    """The frame's columns by short names, made when asked for (a column needs a session)."""
+    """The frame's columns by short names, made once per session (a column needs one)."""
 
     names = {"R": "n_rel", "NN": "n_nonrel", "nn": "nonrel_above"}
 
-    def __getattr__(self, name: str) -> Column:
-        return F.col(self.names.get(name, name))
+    def __init__(self) -> None:
+        self._made: tuple[object, dict[str, Column]] = (None, {})
 
-    @property
-    def Pr(self) -> Column:
-        return self.c / self.r
+    def __getattr__(self, name: str) -> Column:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        context = SparkContext._active_spark_context
+        if self._made[0] is not context:
+            self._made = (context, {})
+        columns = self._made[1]
+        if name not in columns:
+            columns[name] = self.c / self.r if name == "Pr" else F.col(self.names.get(name, name))
+        return columns[name]
 
 
 at = _Frame()
