@@ -120,20 +120,3 @@ SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, CAST(coalesce(n, 0) AS BI
 FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n FROM spans GROUP BY doc_id) USING (doc_id)
 """
 )
-
-# Ranks clipped at 5 % of each engine in each query, distances of the vectors of length 1 to the best and the worst point.
-ORACLES["p5_ranking"] = """
-WITH docs AS (SELECT DISTINCT qid, doc_id FROM engine_ranks WHERE qid IS NOT NULL AND doc_id IS NOT NULL),
-long AS (
-  SELECT qid, doc_id, e, min(r) AS r FROM (SELECT qid, doc_id, unnest(map_keys(ranks)) AS e, unnest(map_values(ranks)) AS r FROM engine_ranks WHERE qid IS NOT NULL AND doc_id IS NOT NULL) WHERE r >= 1 GROUP BY qid, doc_id, e
-),
-cuts AS (SELECT qid, e, quantile_disc(r, 0.05) AS lo, quantile_disc(r, 0.95) AS hi, count(*) AS n FROM long GROUP BY qid, e),
-cells AS (
-  SELECT d.qid, d.doc_id, c.e, c.lo, CASE WHEN l.r IS NULL THEN c.hi + 1 ELSE greatest(least(l.r, c.hi), c.lo) END AS v, max(CASE WHEN l.r IS NULL THEN c.hi + 1 ELSE c.hi END) OVER (PARTITION BY d.qid, c.e) AS worst
-  FROM docs d JOIN cuts c ON c.qid = d.qid LEFT JOIN long l ON l.qid = d.qid AND l.doc_id = d.doc_id AND l.e = c.e
-),
-scaled AS (SELECT qid, doc_id, (v - lo) / norm AS up, (v - worst) / norm AS down FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY qid, e)) AS norm FROM cells)),
-near AS (SELECT qid, doc_id, sqrt(sum(up * up)) AS p, sqrt(sum(down * down)) AS m FROM scaled GROUP BY qid, doc_id),
-c AS (SELECT d.qid, d.doc_id, round(CASE WHEN p + m > 0 THEN m / (p + m) ELSE 0.5 END, 9) AS closeness FROM docs d LEFT JOIN near ON near.qid = d.qid AND near.doc_id = d.doc_id)
-SELECT qid, doc_id, closeness, row_number() OVER (PARTITION BY qid ORDER BY closeness DESC, doc_id) AS position FROM c
-"""
