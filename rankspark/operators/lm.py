@@ -164,8 +164,8 @@ def skip_gram(words: list[str], size: int, window: int, iterations: int, negativ
         ctx = [np.stack([text[:-d][ok], text[d:][ok]]) for d in range(1, window + 1) if len(text) > d for ok in [reach[:-d] >= d] if ok.any()]
         if not len(at) or not ctx:
             break
-        pairs = np.concatenate([*ctx, *[c[::-1] for c in ctx]], axis=1)
-        pairs = pairs[:, rng.permutation(pairs.shape[1])]
+        pairs = np.concatenate(ctx, axis=1)
+        pairs = np.where(rng.random(pairs.shape[1]) < 0.5, pairs, pairs[::-1])[:, rng.permutation(pairs.shape[1])]
         for i in range(0, pairs.shape[1], 2048):
             a, b = pairs[:, i : i + 2048]
             b = np.concatenate([b[:, None], np.searchsorted(noise, rng.random((len(b), negative)))], axis=1)
@@ -179,7 +179,7 @@ def skip_gram(words: list[str], size: int, window: int, iterations: int, negativ
     return names.tolist(), inner
 
 
-def local_embeddings(corpus: DataFrame, size: int = 50, window: int = 8, iterations: int = 3, negative: int = 5, seed: int = 1) -> DataFrame:
+def local_embeddings(corpus: DataFrame, size: int = 50, window: int = 8, iterations: int = 2, negative: int = 5, seed: int = 1) -> DataFrame:
     """``qid, word, vec`` of length 1: an embedding of its own for each query, trained on the ``text`` of its row of
     ``qid, text`` (relevance_corpus(): as long as a result list of limited depth). Queries are trained side by side,
     one row at a time. Like but not equal to other trainers' vectors; an empty text gives no words."""
