@@ -80,7 +80,8 @@ def _distance(ranks: Column, stats: Column, to: str) -> Column:
 
     def part(e: Column) -> Column:
         s, r = e["value"], ranks[e["key"]]
-        v = F.coalesce(F.least(F.greatest(r.cast("double"), s["lo"]), s["hi"]), s["worst"])
+        # least and greatest pass over nulls, so a missing rank must be told apart first.
+        v = F.when(r.isNull(), s["worst"]).otherwise(F.least(F.greatest(r.cast("double"), s["lo"]), s["hi"]))
         d = (v - s[to]) / s["norm"]
         return d * d
 

@@ -107,6 +107,12 @@ def test_closeness_is_not_dominated_by_long_scales(spark):
     assert {r.doc_id: r.closeness for r in onerank.closeness(scaled, tail=0.0).collect()} == pytest.approx(c)
 
 
+def test_a_missing_rank_is_the_worst(spark):
+    rows = [(1, "a", {1: 1, 2: 1}), (1, "b", {1: 1}), (1, "c", {1: 2, 2: 2})]
+    c = {r.doc_id: r.closeness for r in onerank.closeness(spark.createDataFrame(rows, "qid int, doc_id string, ranks map<int,int>"), tail=0.0).collect()}
+    assert c["a"] == 1.0 and c["b"] < c["a"]
+
+
 def test_closeness_of_empty_and_unranked(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "b", {5: None})], "qid int, doc_id string, ranks map<int,int>")
     assert [r.closeness for r in onerank.closeness(df).collect()] == [0.5, 0.5]
