@@ -105,3 +105,44 @@ def test_mirror_is_found(spark, trust):
     picked = {r.cord_uid: r.best_row_id for r in fused.collect()}
     title = {r[0]: r[2] for r in rows}
     assert sum(title[x] == "right" for x in picked.values()) > 340
+
+
+def test_many_sources_give_what_few_give(spark, trust, monkeypatch):
+    """Sources beyond the arrays keep their own votes, accuracies and dependences: the same numbers from tables."""
+    rnd = random.Random(5)
+    rows, i = [], 0
+    for k in range(60):
+        for s in ("pub", "mid", "mirror", "odd", "rare", None):
+            for _ in range(rnd.choice([0, 1, 1, 2] if s != "rare" else [0, 0, 1])):
+                i += 1
+                rows.append((i, f"k{k}", rnd.choice(["right", "right", "right", f"wrong {rnd.randint(0, 2)}"]), rnd.choice([None, "abs", "other"]), None, s, None, "x"))
+    df = spark.createDataFrame(rows, META).repartition(3)
+
+    def run():
+        fused, learnt = fuse.fuse_records(df, trust, STAND)
+        return {(r.cord_uid, r.field_name): r for r in fused.collect()}, {r.source: r for r in fuse.source_report(spark, learnt).collect()}
+
+    few, few_sources = run()
+    monkeypatch.setattr(fuse, "MAX_SOURCES", 4)
+    many, many_sources = run()
+    assert few.keys() == many.keys() and few_sources.keys() == many_sources.keys()
+    for k, r in few.items():
+        assert many[k][:6] == r[:6] and many[k].best_row_id == r.best_row_id
+        assert (many[k].posterior, many[k].best_posterior) == pytest.approx((r.posterior, r.best_posterior), abs=1e-9)
+    for s, r in few_sources.items():
+        assert many_sources[s].copies_of == r.copies_of
+        assert (many_sources[s].accuracy, many_sources[s].dependence) == pytest.approx((r.accuracy, r.dependence), abs=1e-9)
+
+
+def test_hundreds_of_sources_have_a_vote_each(spark, trust):
+    names = [f"s{j:03}" for j in range(210)]
+    claim = [("k", "right", s) for s in names[2:]] + [("k", "wrong", s) for s in names[:2]]
+    claim += [("k2", "right", s) for s in names[-5:]] + [("k2", "wrong", s) for s in names[:2]]
+    claim += [(f"alone {s}", "x", s) for s in names[:120] for _ in range(2)]
+    rows = [(i, k, v, None, None, s, None, "x") for i, (k, v, s) in enumerate(claim)]
+    fused, learnt = fuse.fuse_records(spark.createDataFrame(rows, META), trust, STAND)
+    got = {r.cord_uid: r for r in fused.collect()}
+    assert (got["k"].n_sources, got["k2"].n_sources) == (210, 7)
+    assert claim[got["k"].best_row_id][1] == claim[got["k2"].best_row_id][1] == "right"
+    assert all(0 <= r.best_posterior <= 1 for r in got.values())
+    assert {r.source for r in fuse.source_report(spark, learnt).collect()} == {*names, fuse.POOLED, fuse.NONE}
