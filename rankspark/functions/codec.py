@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
-def gaps(ids: Column) -> Column:
-    """Differences of an ascending array, the first number kept."""
-    return F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(ids, i - 1)))
+def gaps(ids: Column, before: Column | int = 0) -> Column:
+    """Differences of an ascending array, its first number to ``before``. Two arrays side by side: an array looked up
+    inside a function would be made again for each of its numbers, if it is an expression."""
+    earlier = F.slice(F.concat(F.array(F.lit(before)), ids), F.lit(1), F.size(ids))
+    return F.zip_with(ids, earlier, lambda x, y: x - y)
 
 
 def encoded_bytes(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from rankspark.functions import codec
 from rankspark.functions.text import index_tokens
 from rankspark.operators.bpe import encode_tokens
-from rankspark.plans.stage import maybe_broadcast, numbered
+from rankspark.plans.stage import maybe_broadcast, numbered, written
 
 
 BLOCK = 1 << 16  # documents a packed posting list is cut after
@@ -30,6 +30,17 @@ def term_frequencies(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
     return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def numbered_frequencies(docs: DataFrame, numbers: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", merges: DataFrame | None = None) -> DataFrame:
+    """``doc_id, doc_idx, term, tf``, written once, sorted by term within its partitions. The texts meet their numbers
+    before they are cut into terms: there are far fewer of them, and a document's terms are then counted where it is.
+    Texts without an identifier keep their terms and have no number."""
+    if merges is not None:
+        return written(term_frequencies(docs, doc_id, text, merges).join(numbers, "doc_id", "left").select("doc_id", "doc_idx", "term", "tf"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text")).join(numbers, "doc_id", "left")
+    words = d.select("doc_id", "doc_idx", F.explode(index_tokens(F.col("text"))).alias("term"))
+    return written(words.groupBy("doc_id", "doc_idx", "term").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("term", "doc_id"))
+
+
 def document_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
     """``term, df, idf``."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(F.lit(float(n_docs)), F.col("df")))
@@ -48,8 +59,10 @@ def document_norms(tf: DataFrame, df: DataFrame) -> DataFrame:
 def packed_postings(tf: DataFrame, doc_idx: DataFrame, block: int = BLOCK) -> DataFrame:
     """``term, block, n, before, postings array<struct<doc_idx, tf>>``: posting lists with ascending documents, cut where doc_idx passes a multiple
     of ``block``, so that no row is longer than that; ``before`` is the last document of the term's earlier blocks (0 at
-    the start). Searches use the long form."""
-    j = tf.join(doc_idx, "doc_id").withColumn("block", F.floor(F.col("doc_idx") / block).cast("bigint"))
+    the start). Searches use the long form. A ``tf`` of numbered_frequencies() brings its numbers along. Postings move
+    once, by term, which both the blocks and what stands before them follow."""
+    j = (tf if "doc_idx" in tf.columns else tf.join(doc_idx, "doc_id")).select("term", "doc_idx", "tf").where("doc_idx is not null").repartition("term")
+    j = j.withColumn("block", F.floor(F.col("doc_idx") / block).cast("bigint"))
     p = j.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("doc_idx", "tf"))).alias("postings"))
     before = F.lag(F.element_at("postings", -1)["doc_idx"], 1, 0).over(Window.partitionBy("term").orderBy("block"))
     return p.select("term", "block", "n", before.alias("before"), "postings")
@@ -57,9 +70,7 @@ def packed_postings(tf: DataFrame, doc_idx: DataFrame, block: int = BLOCK) -> Da
 
 def block_gaps(packed: DataFrame) -> DataFrame:
     """``term, block, n, gaps, tfs`` of packed_postings(): what each document is after the one before it in the term's list."""
-    ids = F.col("postings.doc_idx")
-    first = F.array(F.get(ids, F.lit(0)) - F.col("before"))
-    return packed.select("term", "block", "n", F.concat(first, F.slice(codec.gaps(ids), 2, F.size(ids))).alias("gaps"), F.col("postings.tf").alias("tfs"))
+    return packed.select("term", "block", "n", codec.gaps(F.col("postings.doc_idx"), F.col("before")).alias("gaps"), F.col("postings.tf").alias("tfs"))
 
 
 def encoded_postings(packed: DataFrame, compressed: bool = True) -> DataFrame:
@@ -99,7 +110,13 @@ def write_index(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str |
     if merges is not None:
         merges.select("rank", "left", "right").write.mode("overwrite").parquet(f"{path}/merges")
         merges = spark.read.parquet(f"{path}/merges")
-    tf = term_frequencies(docs, doc_id, text, merges)
+    if encoded:
+        numbered_documents(docs, doc_id).write.mode("overwrite").parquet(f"{path}/documents")
+        numbers = spark.read.parquet(f"{path}/documents")
+        with_idx = numbered_frequencies(docs, numbers, doc_id, text, merges)
+        tf = with_idx.select("doc_id", "term", "tf")
+    else:
+        tf = term_frequencies(docs, doc_id, text, merges)
     by = (partitions, "term") if partitions else ("term",)
     tf.repartitionByRange(*by).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(tf_path)
     tf = spark.read.parquet(tf_path)
@@ -107,9 +124,8 @@ def write_index(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str |
     document_frequencies(tf, n).sort("term").write.mode("overwrite").parquet(f"{path}/dictionary")
     document_norms(tf, spark.read.parquet(f"{path}/dictionary")).write.mode("overwrite").parquet(f"{path}/norms")
     if encoded:
-        numbered_documents(docs, doc_id).write.mode("overwrite").parquet(f"{path}/documents")
-        packed = packed_postings(tf, spark.read.parquet(f"{path}/documents"))
-        encoded_postings(packed, encoded == "vbyte").repartitionByRange(*by).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/lists")
+        lists = written(encoded_postings(packed_postings(with_idx, numbers), encoded == "vbyte"))  # else the sampling of the ranges encodes them once more
+        lists.repartitionByRange(*by).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/lists")
     config = [(n, "index_tokens" if merges is None else "byte_pairs", encoded)]
     spark.createDataFrame(config, "n_docs bigint, tokenizer string, lists string").write.mode("overwrite").parquet(f"{path}/config")
 

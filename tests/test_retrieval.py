@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,30 @@ def test_encoded_lists_over_several_blocks(spark, tmp_path, monkeypatch, kind):
     assert got == {("x", i, i % 200 + 1) for i in range(20)} | {("y", i, 1) for i in range(20) if i % 5}
 
 
+def test_gaps_of_a_long_list_take_time_in_proportion(spark):
+    """An array that is an expression was made again for each of its numbers: 60,000 postings took more than a minute."""
+    n = 60_000
+    packed = spark.range(1).select(F.lit("x").alias("term"), F.lit(0).alias("block"), F.lit(n).alias("n"), F.lit(5).cast("long").alias("before"), F.expr(f"transform(sequence(1, {n}), i -> struct(bigint(5 + 3 * i) AS doc_idx, bigint(1) AS tf))").alias("postings"))
+    packed = packed.repartition(1)
+    began = time.monotonic()
+    r = index.block_gaps(packed).select(F.size("gaps").alias("n"), F.array_distinct("gaps").alias("d"), F.get("gaps", F.lit(0)).alias("first"), F.size("tfs").alias("m")).first()
+    assert (r.n, r.d, r.first, r.m) == (n, [3], 3, n)
+    assert time.monotonic() - began < 15
+    assert [r.g for r in spark.createDataFrame([([],), (None,), ([4],)], "a array<int>").select(codec.gaps(F.col("a")).alias("g")).collect()] == [[], None, [4]]
+
+
+def test_encoded_index_has_the_tables_of_a_plain_one(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "a b a"), (None, "a z"), (3, None), (7, "b c"), (9, "a")], "doc_id long, text string")
+    index.write_index(f"{tmp_path}/plain", docs)
+    index.write_index(f"{tmp_path}/lists", docs, encoded="vbyte")
+    plain, lists = index.read_index(spark, f"{tmp_path}/plain"), index.read_index(spark, f"{tmp_path}/lists")
+    for t in ("postings", "dictionary", "norms"):
+        assert plain[t].columns == lists[t].columns
+        assert sorted(map(str, plain[t].collect())) == sorted(map(str, lists[t].collect()))
+    got = index.read_lists(spark, f"{tmp_path}/lists", spark.createDataFrame([("a",), ("b",), ("z",)], "term string"))
+    assert {tuple(r) for r in got.collect()} == {(7, "a", 2), (9, "a", 1), (7, "b", 2)}
+
+
 def test_local_embeddings_put_words_of_one_context_together(spark):
     rnd = random.Random(3)
     text = " ".join(" ".join(rnd.choices(g, k=12)) for _ in range(150) for g in [["sun", "sea", "sand"], ["ice", "snow", "cold"]])
