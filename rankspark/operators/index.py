@@ -31,14 +31,13 @@ def term_frequencies(docs: DataFrame, doc_id: str = "doc_id", text: str | Column
 
 
 def numbered_frequencies(docs: DataFrame, numbers: DataFrame, doc_id: str = "doc_id", text: str | Column = "text", merges: DataFrame | None = None) -> DataFrame:
-    """``doc_id, doc_idx, term, tf``, written once, sorted by term within its partitions. The texts meet their numbers
-    before they are cut into terms: there are far fewer of them, and a document's terms are then counted where it is.
-    Texts without an identifier keep their terms and have no number."""
+    """``doc_id, doc_idx, term, tf``. The texts meet their numbers before they are cut into terms: there are far fewer of
+    them, and a document's terms are then counted where it is. Texts without an identifier keep their terms and have no number."""
     if merges is not None:
-        return written(term_frequencies(docs, doc_id, text, merges).join(numbers, "doc_id", "left").select("doc_id", "doc_idx", "term", "tf"))
+        return term_frequencies(docs, doc_id, text, merges).join(numbers, "doc_id", "left").select("doc_id", "doc_idx", "term", "tf")
     d = docs.select(F.col(doc_id).alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text")).join(numbers, "doc_id", "left")
     words = d.select("doc_id", "doc_idx", F.explode(index_tokens(F.col("text"))).alias("term"))
-    return written(words.groupBy("doc_id", "doc_idx", "term").agg(F.count(F.lit(1)).alias("tf")).sortWithinPartitions("term", "doc_id"))
+    return words.groupBy("doc_id", "doc_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
@@ -113,7 +112,7 @@ def write_index(path: str, docs: DataFrame, doc_id: str = "doc_id", text: str |
     if encoded:
         numbered_documents(docs, doc_id).write.mode("overwrite").parquet(f"{path}/documents")
         numbers = spark.read.parquet(f"{path}/documents")
-        with_idx = numbered_frequencies(docs, numbers, doc_id, text, merges)
+        with_idx = written(numbered_frequencies(docs, numbers, doc_id, text, merges).sortWithinPartitions("term", "doc_id"))
         tf = with_idx.select("doc_id", "term", "tf")
     else:
         tf = term_frequencies(docs, doc_id, text, merges)

@@ -106,7 +106,9 @@ def postings_gaps(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def vbyte_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Posting lists (documents and counts) encoded and decoded again, with the bytes of both codecs."""
-    p = index.packed_postings(_tf(spark, sf), index.numbered_documents(table(spark, sf, "documents")))
+    docs = table(spark, sf, "documents")
+    numbers = index.numbered_documents(docs)
+    p = index.packed_postings(index.numbered_frequencies(docs, numbers), numbers)
     enc = index.block_gaps(p).withColumnRenamed("gaps", "ids").select("term", "ids", "tfs", codec.vbyte_encode("ids").alias("v"), codec.vbyte_encode("tfs").alias("w"), codec.fixed_encode("ids").alias("f"))
     enc = enc.withColumns({"v2": codec.vbyte_decode("v"), "w2": codec.vbyte_decode("w"), "f2": codec.fixed_decode("f"), "u": codec.ungaps("ids")})
     ascending = F.get("u", F.size("u") - 1) == F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)

@@ -236,6 +236,15 @@ def test_gaps_of_a_long_list_take_time_in_proportion(spark):
     assert [r.g for r in spark.createDataFrame([([],), (None,), ([4],)], "a array<int>").select(codec.gaps(F.col("a")).alias("g")).collect()] == [[], None, [4]]
 
 
+def test_vbyte_roundtrip_of_a_full_block(spark, tmp_path):
+    """One term in 65,536 documents, the longest list there is in a row: its time grew with the square of that."""
+    n = index.BLOCK
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a a").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    assert [tuple(r) for r in queries.QUERIES["vbyte_roundtrip"](spark, str(tmp_path)).collect()] == [("a", n, n, 4 * n, True)]
+    assert time.monotonic() - began < 45
+
+
 def test_encoded_index_has_the_tables_of_a_plain_one(spark, tmp_path):
     docs = spark.createDataFrame([(7, "a b a"), (None, "a z"), (3, None), (7, "b c"), (9, "a")], "doc_id long, text string")
     index.write_index(f"{tmp_path}/plain", docs)
